@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Operand types for exact ratios: the division keeps ten or more decimals.
 COUNT = "decimal(20,0)"
@@ -25,6 +26,28 @@ def flag(condition: Column) -> Column:
     return condition.cast("int")
 
 
+def require_money(df: DataFrame, *columns: str) -> None:
+    """Amounts must be decimals of at most two places, as the table schemas declare."""
+    for name in columns:
+        kind = df.schema[name].dataType
+        if not (isinstance(kind, T.DecimalType) and kind.scale <= 2):
+            raise TypeError(f"{name} is {kind.simpleString()}, expected decimal(_,2)")
+
+
+def cents(column: str) -> Column:
+    """An amount in whole cents.
+
+    Sums of bigint cents are exact, run in generated code and shuffle a third of
+    the bytes of wide decimal sums; an overflow is an error, never a wrong total.
+    """
+    return (F.col(column) * 100).cast("bigint")
+
+
+def money(total: Column) -> Column:
+    """Cents as an amount with two decimals."""
+    return (total.cast(COUNT) / 100).cast("decimal(22,2)")
+
+
 def ratio(
     part: Column,
     whole: Column,

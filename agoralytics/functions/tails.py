@@ -7,12 +7,18 @@ row, so these run on that single aggregated row, never on the data.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Executors need not have this package: the functions travel with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _normal_upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agoralytics.functions.scalars import cents, mean, require_money
+
 DELIVERED = "delivered"
 
 
@@ -12,23 +16,32 @@ def with_status(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
     return orders.filter(F.col("order_status") == status)
 
 
+def label_rows(spark: SparkSession, column: str, labels: Sequence[str]) -> DataFrame:
+    """A fixed list of labels as rows, numbered from 1 in ``place``."""
+    listed = F.posexplode(F.array(*map(F.lit, labels))).alias("place", column)
+    return spark.range(1).select(listed).withColumn("place", F.col("place") + 1)
+
+
 def items_per_order(order_items: DataFrame) -> DataFrame:
-    """Money and unit totals, one row per order.
+    """Cents and unit totals, one row per order.
 
     Summing before the join keeps an order with very many items from becoming
     one join task, and the join on ``order_id`` reuses this shuffle.
     """
+    require_money(order_items, "price", "freight_value")
+    price, freight = cents("price"), cents("freight_value")
     return order_items.groupBy("order_id").agg(
-        F.sum("price").alias("price"),
-        F.sum("freight_value").alias("freight"),
+        F.sum(freight).alias("freight"),
         F.count("freight_value").alias("freight_rows"),
-        F.sum(F.col("price") + F.col("freight_value")).alias("revenue"),
-        F.count("order_item_id").alias("units"),
+        F.sum(price + freight).alias("revenue"),
+        F.count(F.lit(1)).alias("item_rows"),
     )
 
 
 def payment_per_order(order_payments: DataFrame) -> DataFrame:
-    return order_payments.groupBy("order_id").agg(F.sum("payment_value").alias("payment_value"))
+    """Cents paid, one row per order."""
+    require_money(order_payments, "payment_value")
+    return order_payments.groupBy("order_id").agg(F.sum(cents("payment_value")).alias("paid"))
 
 
 def score_per_order(order_reviews: DataFrame) -> DataFrame:
@@ -38,9 +51,7 @@ def score_per_order(order_reviews: DataFrame) -> DataFrame:
         .agg(F.sum("review_score").alias("_total"), F.count("review_score").alias("_n"))
         .select(
             "order_id",
-            F.round(F.try_divide(F.col("_total").cast("decimal(20,0)"), F.col("_n").cast("decimal(20,0)")), 4)
-            .cast("decimal(14,4)")
-            .alias("review_score"),
+            mean(F.col("_total"), F.col("_n"), digits=4).cast("decimal(14,4)").alias("review_score"),
         )
     )
 

@@ -17,7 +17,7 @@ from agoralytics.functions.tails import (
     normal_upper_tail,
     student_two_sided,
 )
-from agoralytics.operators.common import with_status
+from agoralytics.operators.common import label_rows, with_status
 
 # Group labels, score scale, delay bins (open below, closed above).
 DELAYED = "Delayed"
@@ -32,13 +32,6 @@ KEEP = "FAIL TO REJECT H0"
 ALPHA = 0.05
 
 
-def _labels(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
-    """A fixed list of labels as rows, numbered in order."""
-    return df.sparkSession.createDataFrame(
-        list(enumerate(labels, start=1)), f"place int, {column} string"
-    )
-
-
 def review_delay_frame(orders: DataFrame, order_reviews: DataFrame) -> DataFrame:
     """Delivered orders × their reviews, rows without a date or score left out."""
     purchased = F.col("order_purchase_timestamp")
@@ -106,7 +99,7 @@ def delay_severity(
         _mean_score().alias("mean"), F.count("review_score").alias("count")
     )
     return (
-        _labels(frame, "delay_bucket", (NO_DELAY_LABEL, *labels))
+        label_rows(frame.sparkSession, "delay_bucket", (NO_DELAY_LABEL, *labels))
         .join(per_bucket, "delay_bucket", "left")
         .select("place", "delay_bucket", "mean", F.coalesce("count", F.lit(0)).alias("count"))
         .orderBy("place")
@@ -155,9 +148,8 @@ def contingency_table(
         .na.fill(0)
         .withColumnsRenamed({str(v): f"score_{v}" for v in col_values})
     )
-    return (
-        _labels(frame, rows, row_order).join(counted, rows, "left").orderBy("place").drop("place")
-    )
+    listed = label_rows(frame.sparkSession, rows, row_order)
+    return listed.join(counted, rows, "left").orderBy("place").drop("place")
 
 
 def review_share_by_status(frame: DataFrame) -> DataFrame:

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from agoralytics.functions.scalars import (
     MONEY,
     SCORE,
+    cents,
     flag,
     mean,
+    money,
     month_key,
     percent,
     ratio,
+    require_money,
 )
 from agoralytics.operators.common import (
     items_per_order,
@@ -41,71 +44,69 @@ def repeat_customer_rate(orders: DataFrame, customers: DataFrame) -> DataFrame:
 def business_summary(
     orders: DataFrame, customers: DataFrame, order_items: DataFrame
 ) -> DataFrame:
-    """One row of totals over delivered orders that have items and a customer."""
+    """One row of totals over delivered orders that have items and a customer.
+
+    The distinct counts expand the joined rows and drop repeats before the
+    shuffle, so a huge order, buyer or seller is reduced where it is read; the
+    join partition of a huge order is split at run time.
+    """
+    require_money(order_items, "price", "freight_value")
+    price, freight = cents("price"), cents("freight_value")
     sold = (
         with_status(orders)
         .select("order_id", "customer_id")
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
-        .select("order_id", "customer_unique_id")
-    )
-    # order grain → buyer grain → one row: the distinct counts become row counts
-    buyers = (
-        sold.join(items_per_order(order_items), "order_id")
-        .groupBy("customer_unique_id")
-        .agg(
-            F.count("order_id").alias("orders"),
-            F.sum("price").alias("price"),
-            F.sum("freight").alias("freight"),
-            F.sum("revenue").alias("revenue"),
-            F.sum("units").alias("units"),
+        .join(
+            order_items.select(
+                "order_id",
+                "order_item_id",
+                "seller_id",
+                price.alias("price"),
+                freight.alias("freight"),
+            ),
+            "order_id",
         )
     )
-    sellers = (
-        order_items.select("order_id", "seller_id")
-        .distinct()
-        .join(sold.select("order_id"), "order_id", "left_semi")
-        .agg(F.count_distinct("seller_id"))
-        .scalar()
-    )
-    totals = buyers.agg(
-        F.coalesce(F.sum("orders"), F.lit(0)).alias("total_delivered_orders"),
-        F.count("customer_unique_id").alias("total_unique_buyers"),
-        F.sum("price").alias("total_item_gmv"),
-        F.sum("freight").alias("total_freight"),
-        F.sum("revenue").alias("total_gross_revenue"),
-        F.sum("units").alias("units"),
+    totals = sold.agg(
+        F.count_distinct("order_id").alias("total_delivered_orders"),
+        F.count_distinct("customer_unique_id").alias("total_unique_buyers"),
+        F.count_distinct("seller_id").alias("active_sellers"),
+        F.sum("price").alias("price"),
+        F.sum("freight").alias("freight"),
+        F.sum(F.col("price") + F.col("freight")).alias("revenue"),
+        F.count("order_item_id").alias("units"),
     )
     n = F.col("total_delivered_orders")
+    gmv = money(F.col("price"))
     return totals.select(
         n,
         "total_unique_buyers",
-        sellers.alias("active_sellers"),
-        "total_item_gmv",
-        "total_freight",
-        "total_gross_revenue",
-        mean(F.col("total_item_gmv"), n, MONEY).alias("avg_order_value"),
+        "active_sellers",
+        gmv.alias("total_item_gmv"),
+        money(F.col("freight")).alias("total_freight"),
+        money(F.col("revenue")).alias("total_gross_revenue"),
+        mean(gmv, n, MONEY).alias("avg_order_value"),
         mean(F.col("units"), n).alias("avg_items_per_order"),
     )
 
 
 def payment_breakdown(order_payments: DataFrame) -> DataFrame:
     """Transactions, value and their shares by payment type, all orders."""
+    require_money(order_payments, "payment_value")
     by_type = order_payments.groupBy("payment_type").agg(
         F.count("order_id").alias("transaction_count"),
-        F.sum("payment_value").alias("total_payment_value"),
+        money(F.sum(cents("payment_value"))).alias("total_payment_value"),
         F.count("payment_value").alias("_valued"),
         F.sum("payment_installments").alias("_installments"),
         F.count("payment_installments").alias("_planned"),
     )
     everything = Window.partitionBy()  # one row per payment type
-    value = F.col("total_payment_value")
+    n, value = F.col("transaction_count"), F.col("total_payment_value")
     return by_type.select(
         "payment_type",
-        "transaction_count",
-        percent(
-            F.col("transaction_count"), F.sum("transaction_count").over(everything)
-        ).alias("transaction_share_pct"),
-        "total_payment_value",
+        n,
+        percent(n, F.sum(n).over(everything)).alias("transaction_share_pct"),
+        value,
         percent(value, F.sum(value).over(everything), MONEY).alias("revenue_share_pct"),
         mean(F.col("_installments"), F.col("_planned"), digits=1).alias("avg_installments"),
         mean(value, F.col("_valued"), MONEY).alias("avg_ticket_size"),
@@ -114,28 +115,18 @@ def payment_breakdown(order_payments: DataFrame) -> DataFrame:
 
 def state_revenue(orders: DataFrame, customers: DataFrame, order_items: DataFrame) -> DataFrame:
     """Buyers, orders and revenue by customer state, delivered orders."""
-    per_buyer = (
+    people = customers.select("customer_id", "customer_unique_id", "customer_state")
+    return (
         with_status(orders)
         .select("order_id", "customer_id")
-        .join(
-            customers.select("customer_id", "customer_unique_id", "customer_state"), "customer_id"
-        )
+        .join(people, "customer_id")
         .join(items_per_order(order_items), "order_id")
-        .groupBy("customer_state", "customer_unique_id")
+        .groupBy("customer_state")
         .agg(
-            F.count("order_id").alias("orders"),
-            F.sum("revenue").alias("revenue"),
-            F.sum("freight").alias("freight"),
-            F.sum("freight_rows").alias("freight_rows"),
-        )
-    )
-    return (
-        per_buyer.groupBy("customer_state")
-        .agg(
-            F.count("customer_unique_id").alias("unique_customers"),
-            F.sum("orders").alias("total_orders"),
-            F.sum("revenue").alias("total_revenue"),
-            mean(F.sum("freight"), F.sum("freight_rows"), MONEY).alias("avg_freight_paid"),
+            F.count_distinct("customer_unique_id").alias("unique_customers"),
+            F.count("order_id").alias("total_orders"),
+            money(F.sum("revenue")).alias("total_revenue"),
+            mean(money(F.sum("freight")), F.sum("freight_rows"), MONEY).alias("avg_freight_paid"),
         )
         .orderBy(F.desc("total_revenue"), "customer_state")
     )
@@ -156,7 +147,7 @@ def monthly_revenue_growth(orders: DataFrame, order_items: DataFrame) -> DataFra
         .groupBy("order_month")
         .agg(
             F.count("order_id").alias("total_orders"),
-            F.sum("revenue").alias("monthly_revenue"),
+            money(F.sum("revenue")).alias("monthly_revenue"),
         )
     )
     by_month = Window.orderBy("order_month")  # one row per calendar month
@@ -180,6 +171,7 @@ def category_revenue(
 
     The rating is the mean over items of the order's mean score.
     """
+    require_money(order_items, "price")
     # Items collapse to one row per category and order before they meet the
     # orders, so neither a huge order nor a huge category travels row by row.
     per_order = (
@@ -189,7 +181,7 @@ def category_revenue(
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.count("order_item_id").alias("units"),
-            F.sum("price").alias("price"),
+            F.sum(cents("price")).alias("sales"),
             F.count("price").alias("priced"),
         )
     )
@@ -205,8 +197,8 @@ def category_revenue(
         .agg(
             F.count("order_id").alias("total_orders"),
             F.sum("units").alias("total_units_sold"),
-            F.sum("price").alias("total_sales_value"),
-            mean(F.sum("price"), F.sum("priced"), MONEY).alias("avg_item_price"),
+            money(F.sum("sales")).alias("total_sales_value"),
+            mean(money(F.sum("sales")), F.sum("priced"), MONEY).alias("avg_item_price"),
             mean(F.sum(rows * score), F.sum(F.when(score.isNotNull(), rows)), SCORE).alias(
                 "avg_customer_rating"
             ),
@@ -230,12 +222,13 @@ def top_categories_all_orders(
     order_items: DataFrame, products: DataFrame, translation: DataFrame, k: int = 10
 ) -> DataFrame:
     """Categories by price total over every order, unlabelled products left out."""
-    per_product = order_items.groupBy("product_id").agg(F.sum("price").alias("price"))
+    require_money(order_items, "price")
+    per_product = order_items.groupBy("product_id").agg(F.sum(cents("price")).alias("sales"))
     return (
         per_product.join(labelled_products(products, translation, None), "product_id")
         .filter(F.col("category_english").isNotNull())
         .groupBy("category_english")
-        .agg(F.sum("price").alias("price"))
+        .agg(money(F.sum("sales")).alias("price"))
         .orderBy(F.desc("price"), "category_english")
         .limit(k)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agoralytics.functions.scalars import (
@@ -13,11 +13,12 @@ from agoralytics.functions.scalars import (
     elapsed_days,
     flag,
     mean,
+    money,
     month_key,
     percent,
     weekday_name,
 )
-from agoralytics.operators.common import items_per_order, with_status
+from agoralytics.operators.common import items_per_order, label_rows, with_status
 
 _MOMENTS = (
     "order_purchase_timestamp",
@@ -137,11 +138,8 @@ def order_heatmap(orders: DataFrame) -> DataFrame:
         .pivot("hour", [f"h{hour:02d}" for hour in range(24)])
         .agg(F.count("order_id"))
     )
-    week = orders.sparkSession.createDataFrame(
-        [(no, name) for no, name in enumerate(WEEKDAYS[1:] + WEEKDAYS[:1], start=1)],
-        "day_no int, dow string",
-    )
-    return week.join(counted, "dow", "left").orderBy("day_no")
+    week = label_rows(orders.sparkSession, "dow", WEEKDAYS[1:] + WEEKDAYS[:1])
+    return week.withColumnRenamed("place", "day_no").join(counted, "dow", "left").orderBy("day_no")
 
 
 def delivery_day_counts(orders: DataFrame) -> DataFrame:
@@ -156,32 +154,41 @@ def delivery_day_counts(orders: DataFrame) -> DataFrame:
 
 def delivery_time_histogram(orders: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins over [min, max], the last one closed; empty bins are kept."""
-    days = delivery_day_counts(orders)
-    span = days.agg(
-        F.struct(
-            F.min("delivery_days").cast("double").alias("lo"),
-            F.max("delivery_days").cast("double").alias("hi"),
-            F.try_divide(
-                F.sum(F.col("delivery_days") * F.col("n")).cast("double"), F.sum("n")
-            ).alias("mean"),
-        )
-    ).scalar()
-    # a single value gets one unit-wide range around it
-    pad = F.when(span["hi"] > span["lo"], 0.0).otherwise(0.5)
-    lo, hi = span["lo"] - pad, span["hi"] + pad
-    width = (hi - lo) / bins
-    value = F.col("delivery_days").cast("double")
-    bin_no = F.least(F.lit(bins), F.floor((value - lo) / width).cast("int") + 1)
-    counted = days.groupBy(bin_no.alias("bin_no")).agg(F.sum("n").alias("order_count"))
-    frame = orders.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin_no"))
+    day, n = F.col("delivery_days"), F.col("n")
+    all_days = Window.partitionBy()  # one row per elapsed day
+    days = delivery_day_counts(orders).select(
+        day,
+        n,
+        F.min(day).over(all_days).alias("least"),
+        F.max(day).over(all_days).alias("most"),
+        (F.sum(day * n).over(all_days).cast("double") / F.sum(n).over(all_days)).alias("mean_days"),
+    )
+    # a single value gets a range of one day around it
+    pad = F.when(F.col("most") > F.col("least"), 0.0).otherwise(0.5)
+    lo = F.col("least") - pad
+    width = (F.col("most") + pad - lo) / bins
+    own = F.least(F.lit(bins), F.floor((day - lo) / width).cast("int") + 1)
+    # the first day also lists every bin, with no orders of its own
+    listed = F.when(
+        day == F.col("least"),
+        F.transform(
+            F.sequence(F.lit(1), F.lit(bins)),
+            lambda b: F.struct(b.alias("bin_no"), F.lit(0).cast("bigint").alias("order_count")),
+        ),
+    )
+    counted = F.array(F.struct(own.alias("bin_no"), n.alias("order_count")))
+    no_bins = F.array().cast("array<struct<bin_no:int,order_count:bigint>>")
+    entry = F.explode(F.concat(counted, F.coalesce(listed, no_bins))).alias("entry")
     return (
-        frame.join(counted, "bin_no", "left")
+        days.select(lo.alias("lo"), width.alias("width"), "mean_days", entry)
+        .groupBy("entry.bin_no", "lo", "width", "mean_days")
+        .agg(F.sum("entry.order_count").alias("order_count"))
         .select(
             "bin_no",
-            (lo + (F.col("bin_no") - 1) * width).alias("bin_start"),
-            (lo + F.col("bin_no") * width).alias("bin_end"),
-            F.coalesce("order_count", F.lit(0)).alias("order_count"),
-            span["mean"].alias("mean_days"),
+            (F.col("lo") + (F.col("bin_no") - 1) * F.col("width")).alias("bin_start"),
+            (F.col("lo") + F.col("bin_no") * F.col("width")).alias("bin_end"),
+            "order_count",
+            "mean_days",
         )
         .orderBy("bin_no")
     )
@@ -192,27 +199,29 @@ def delivery_time_kde(orders: DataFrame, gridsize: int = CURVE_POINTS) -> DataFr
 
     Works on the per-day counts, so its cost depends on the span of days only.
     """
-    days = delivery_day_counts(orders)
+    all_days = Window.partitionBy()  # one row per elapsed day
     x, n = F.col("delivery_days").cast("double"), F.col("n")
-    total, first, second = F.sum(n), F.sum(x * n), F.sum(x * x * n)
+    total, first, second = (F.sum(v).over(all_days) for v in (n, x * n, x * x * n))
     variance = (second - first * first / total) / (total - 1)
-    shape = days.agg(
-        F.struct(
-            F.min(x).alias("lo"),
-            F.max(x).alias("hi"),
-            total.cast("double").alias("total"),
-            F.when(total > 1, F.sqrt(variance) * F.pow(total, F.lit(-0.2))).alias("bandwidth"),
-        )
-    ).scalar()
-    step = (shape["hi"] - shape["lo"]) / (gridsize - 1)
-    spot = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1)))
-    distance = (shape["lo"] + F.col("point") * step - x) / shape["bandwidth"]
-    kernel = F.exp(-distance * distance / 2) / (shape["bandwidth"] * F.sqrt(2 * F.pi()))
+    lo, hi = F.min(x).over(all_days), F.max(x).over(all_days)
+    days = delivery_day_counts(orders).select(
+        x.alias("x"),
+        (n / total).alias("weight"),
+        lo.alias("lo"),
+        ((hi - lo) / (gridsize - 1)).alias("step"),
+        F.when(total > 1, F.sqrt(variance) * F.pow(total, F.lit(-0.2))).alias("bandwidth"),
+    )
+    point = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point")
+    spot = F.col("lo") + F.col("point") * F.col("step")
+    distance = F.try_divide(F.col("spot") - F.col("x"), F.col("bandwidth"))
+    kernel = F.try_divide(
+        F.exp(-distance * distance / 2), F.col("bandwidth") * F.sqrt(2 * F.pi())
+    )
     return (
-        days.select("delivery_days", "n", spot.alias("point"))
-        .groupBy("point")
-        .agg((F.sum(kernel * n) / shape["total"]).alias("density"))
-        .select("point", (shape["lo"] + F.col("point") * step).alias("days"), "density")
+        days.select("*", point)
+        .withColumn("spot", spot)
+        .groupBy("point", F.col("spot").alias("days"))
+        .agg(F.sum(kernel * F.col("weight")).alias("density"))
         .orderBy("point")
     )
 
@@ -237,7 +246,9 @@ def freight_vs_delivery_by_state(
     """Mean freight next to mean delivery days, states that have both; one pass over the orders."""
     purchased, arrived, _ = _moments()
     taken = calendar_days(arrived, purchased)
-    freight = items_per_order(order_items).select("order_id", "freight", "freight_rows", "units")
+    freight = items_per_order(order_items).select(
+        "order_id", "freight", "freight_rows", "item_rows"
+    )
     return (
         with_status(orders)
         .select("order_id", "customer_id", taken.alias("taken"))
@@ -245,9 +256,9 @@ def freight_vs_delivery_by_state(
         .join(freight, "order_id", "left")
         .groupBy("customer_state")
         .agg(
-            F.count("units").alias("sold"),
+            F.count("item_rows").alias("sold"),
             F.count("taken").alias("delivered_orders"),
-            mean(F.sum("freight"), F.sum("freight_rows"), MONEY).alias("avg_freight_paid"),
+            mean(money(F.sum("freight")), F.sum("freight_rows"), MONEY).alias("avg_freight_paid"),
             mean(F.sum("taken"), F.count("taken"), digits=1).alias("avg_delivery_days"),
         )
         .filter((F.col("sold") > 0) & (F.col("delivered_orders") > 0))

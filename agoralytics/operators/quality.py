@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoralytics.functions.ranking import exact_quantiles
-from agoralytics.functions.scalars import complete_months, flag, percent
+from agoralytics.functions.scalars import complete_months, flag, money, percent
 from agoralytics.operators.common import payment_per_order, with_status
 
 
@@ -267,12 +267,12 @@ def analysis_set_counts(
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
     )
     people = paid.groupBy("customer_unique_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("payment_value").alias("paid")
+        F.count(F.lit(1)).alias("n"), F.sum("paid").alias("paid")
     )
     return people.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("analysis_rows"),
         F.count("customer_unique_id").alias("unique_customers"),
-        F.bround(F.sum("paid"), 2).alias("total_payment_value"),
+        money(F.sum("paid")).alias("total_payment_value"),
     )
 
 

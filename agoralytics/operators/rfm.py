@@ -20,6 +20,7 @@ from agoralytics.functions.scalars import (
     elapsed_days,
     first_match,
     mean,
+    money,
     percent,
     quantile_bin,
     tile_number,
@@ -74,7 +75,7 @@ def _per_customer(orders: DataFrame, customers: DataFrame, payments: DataFrame)
         .agg(
             F.max("order_purchase_timestamp").alias("last_purchase"),
             F.count("order_id").alias("orders_placed"),
-            F.sum("payment_value").alias("spend"),
+            money(F.sum("paid")).alias("spend"),
         )
     )
 

@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agoralytics.functions.ranking import with_running_total
-from agoralytics.functions.scalars import MONEY, SCORE, mean, percent
+from agoralytics.functions.scalars import (
+    MONEY,
+    SCORE,
+    cents,
+    mean,
+    money,
+    percent,
+    require_money,
+)
 from agoralytics.operators.common import score_per_order
 from agoralytics.plans.staging import staged
 
@@ -18,8 +26,10 @@ MILESTONE_SHARES = (20, 50, 80)
 
 
 def seller_sales(order_items: DataFrame, sellers: DataFrame) -> DataFrame:
+    require_money(order_items, "price")
     per_seller = order_items.groupBy("seller_id").agg(
-        F.sum("price").alias("seller_gmv"), F.count("order_item_id").alias("units_sold")
+        money(F.sum(cents("price"))).alias("seller_gmv"),
+        F.count("order_item_id").alias("units_sold"),
     )
     return per_seller.join(sellers.select("seller_id", "seller_state"), "seller_id").select(
         "seller_id", "seller_state", "seller_gmv", "units_sold"
@@ -69,20 +79,21 @@ def top20_sellers(
 
     The rating is the mean over items of the order's mean score.
     """
+    require_money(order_items, "price", "freight_value")
     # one row per seller and order before the reviews are joined
     per_order = order_items.groupBy("seller_id", "order_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("order_item_id").alias("units"),
-        F.sum("price").alias("price"),
-        F.sum("freight_value").alias("freight"),
+        F.sum(cents("price")).alias("price"),
+        F.sum(cents("freight_value")).alias("freight"),
     )
     score, rows = F.col("review_score"), F.col("rows")
     per_seller = (
         per_order.join(score_per_order(order_reviews), "order_id", "left")
         .groupBy("seller_id")
         .agg(
-            F.sum("price").alias("seller_gmv"),
-            F.sum("freight").alias("total_freight_earned"),
+            money(F.sum("price")).alias("seller_gmv"),
+            money(F.sum("freight")).alias("total_freight_earned"),
             F.count("order_id").alias("total_orders"),
             F.sum("units").alias("units_sold"),
             mean(F.sum(rows * score), F.sum(F.when(score.isNotNull(), rows)), SCORE).alias(
