@@ -109,8 +109,8 @@ def duplicated_keys(
     return _stack(
         [
             df.groupBy(key)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicated_rows"))
+            .agg(F.count(F.lit(1)).alias("_rows"))
+            .agg(F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("duplicated_rows"))
             .select(
                 F.lit(name).alias("table_name"), F.lit(key).alias("key_column"), "duplicated_rows"
             )
@@ -121,9 +121,9 @@ def duplicated_keys(
 
 def customer_uniqueness_audit(customers: DataFrame) -> DataFrame:
     # first one row per person (map-side combined), then the totals
-    people = customers.groupBy("customer_unique_id").agg(F.count("customer_id").alias("n"))
+    people = customers.groupBy("customer_unique_id").agg(F.count("customer_id").alias("_rows"))
     return people.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_order_customers"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_order_customers"),
         F.count("customer_unique_id").alias("total_unique_humans"),
     ).withColumn(
         "repeat_customer_transactions",
@@ -166,13 +166,13 @@ def date_boundaries(orders: DataFrame) -> DataFrame:
 def primary_key_check(df: DataFrame, keys: Sequence[str], name: str = "table") -> DataFrame:
     """Rows without a complete key, keys used more than once, rows beyond the first of each key."""
     incomplete: Column = reduce(Column.__or__, (F.col(k).isNull() for k in keys))
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    repeated = ~incomplete & (F.col("n") > 1)
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = ~incomplete & (F.col("_rows") > 1)
     return per_key.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.when(incomplete, F.col("n"))), F.lit(0)).alias("null_key_rows"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.when(incomplete, F.col("_rows"))), F.lit(0)).alias("null_key_rows"),
         F.count_if(repeated).alias("repeated_keys"),
-        F.coalesce(F.sum(F.when(repeated, F.col("n") - 1)), F.lit(0)).alias("surplus_rows"),
+        F.coalesce(F.sum(F.when(repeated, F.col("_rows") - 1)), F.lit(0)).alias("surplus_rows"),
     ).select(
         F.lit(name).alias("table_name"),
         F.lit(",".join(keys)).alias("key_columns"),
@@ -193,12 +193,12 @@ def foreign_key_check(
     per_key = (
         child.filter(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
     )
     orphans = per_key.join(parent.select(key), key, "left_anti")
     return orphans.agg(
         F.count(F.lit(1)).alias("orphan_keys"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("orphan_rows"),
     ).select(
         F.lit(names[0]).alias("child_table"),
         F.lit(names[1]).alias("parent_table"),
@@ -222,9 +222,9 @@ def describe_rfm(rfm: DataFrame) -> DataFrame:
     columns = ("recency", "frequency", "monetary")
     quartiles = {}
     for name in columns[:2]:
-        per_value = rfm.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+        per_value = rfm.groupBy(name).agg(F.count(F.lit(1)).alias("_rows"))
         quartiles[name] = per_value.agg(
-            F.percentile(name, list(_QUARTILES), F.col("n")).alias("q")
+            F.percentile(name, list(_QUARTILES), F.col("_rows")).alias("q")
         ).scalar()
     spread = exact_quantiles(rfm, "monetary", "customer_unique_id", _QUARTILES)
     quartiles["monetary"] = spread.select(F.array("q0", "q1", "q2")).scalar()
@@ -267,10 +267,10 @@ def analysis_set_counts(
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
     )
     people = paid.groupBy("customer_unique_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("paid").alias("paid")
+        F.count(F.lit(1)).alias("_rows"), F.sum("paid").alias("paid")
     )
     return people.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("analysis_rows"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("analysis_rows"),
         F.count("customer_unique_id").alias("unique_customers"),
         money(F.sum("paid")).alias("total_payment_value"),
     )

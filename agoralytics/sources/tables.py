@@ -33,7 +33,7 @@ def line_ending_cleanup(df: DataFrame) -> DataFrame:
     """Strip a carriage return left at the end of any text column."""
     return df.select(
         *(
-            F.regexp_replace(field.name, r"\r$", "").alias(field.name)
+            F.regexp_replace(field.name, r"\r\z", "").alias(field.name)
             if isinstance(field.dataType, T.StringType)
             else F.col(field.name)
             for field in df.schema.fields

@@ -3,8 +3,9 @@
 Each statement stands alone: the sample tables it uses come first as common
 table expressions (``m_<name>``), then the result, then one typed output list.
 The output list is a string of ``column:kind`` pairs, with kinds
-``i`` whole number, ``s`` text, ``t`` timestamp, ``b`` boolean, ``f`` double to
-six decimals, ``dN`` rounded half up and ``eN`` half to even at N decimals.
+``i`` whole number, ``s`` text, ``t`` timestamp, ``b`` boolean, ``f`` or ``fN``
+double to six or N decimals, ``dN`` rounded half up and ``eN`` half to even at
+N decimals in decimal arithmetic.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ def _output(item: str) -> str:
     name, kind = item.split(":")
     if kind == "i":
         value = f"CAST({name} AS BIGINT)"
-    elif kind == "f":
-        value = f"ROUND(CAST({name} AS DOUBLE), 6)"
+    elif kind[0] == "f":
+        value = f"ROUND(CAST({name} AS DOUBLE), {kind[1:] or 6})"
     elif kind[0] == "d":
         value = f"CAST(ROUND(CAST({name} AS DECIMAL(30,10)), {kind[1:]}) AS DOUBLE)"
     elif kind[0] == "e":
@@ -607,7 +608,7 @@ EXPECTED: dict[str, tuple[str, ...]] = {
         _foreign_keys(),
         "child_table:s parent_table:s key_column:s orphan_keys:i orphan_rows:i",
     ),
-    "describe_rfm": (_profile(), "row_no:i statistic:s recency:f frequency:f monetary:f"),
+    "describe_rfm": (_profile(), "row_no:i statistic:s recency:f2 frequency:f2 monetary:f2"),
     "analysis_set_counts": (
         "SELECT COUNT(DISTINCT order_id) AS analysis_rows, COUNT(DISTINCT customer_unique_id) AS unique_customers, "
         "SUM(payment_value) AS total_payment_value FROM x_paid",
