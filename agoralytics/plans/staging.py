@@ -13,18 +13,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_SETTING = "spark.checkpoint.dir"
+_test_folders: dict[str, str] = {}  # application id → folder of a local test session
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by the session; a local-mode test session may lack one."""
+    """The session's checkpoint folder; a local-mode test session may lack one."""
     configured = spark.conf.get(_DIR_SETTING, None)
     if configured:
         return configured.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        folder = tempfile.mkdtemp(prefix="agoralytics-")
-        spark.conf.set(_DIR_SETTING, folder)
-        return folder
-    raise RuntimeError(f"set {_DIR_SETTING} to a folder all executors can reach")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError(f"set {_DIR_SETTING} to a folder all executors can reach")
+    application = spark.conf.get("spark.app.id")
+    if application not in _test_folders:
+        _test_folders[application] = tempfile.mkdtemp(prefix="agoralytics-")
+    return _test_folders[application]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

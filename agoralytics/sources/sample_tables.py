@@ -23,8 +23,15 @@ class DerivedTable:
     distinct: bool = False
 
 
-_PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
-_FREIGHT = f"CAST(ROUND({_PRICE} * CAST(l_tax AS DECIMAL(4,2)), 2) AS DECIMAL(12,2))"
+
+def _two_places(column: str, precision: int) -> str:
+    # through whole hundredths: engines convert doubles to decimals slowly
+    hundredths = f"CAST(FLOOR({column} * 100 + 0.5) AS BIGINT)"
+    return f"CAST(CAST({hundredths} AS DECIMAL({precision},0)) * 0.01 AS DECIMAL({precision},2))"
+
+
+_PRICE = _two_places("l_extendedprice", 12)
+_FREIGHT = f"CAST(ROUND({_PRICE} * {_two_places('l_tax', 4)}, 2) AS DECIMAL(12,2))"
 
 
 def _zip(key: str) -> str:

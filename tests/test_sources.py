@@ -157,3 +157,32 @@ def test_publish_and_list(spark):
     assert spark.table("vw_case").count() == 3
     assert "vw_case" in {r.viewName for r in views.list_views(spark).collect()}
     spark.catalog.dropTempView("vw_case")
+
+
+class Settings:
+    def __init__(self, **values):
+        self.conf = self
+        self._values = {k.replace("_", "."): v for k, v in values.items()}
+
+    def get(self, key, default=None):
+        return self._values.get(key, default)
+
+
+def test_staging_folder_is_local_only_for_local_sessions():
+    assert shared_folder(Settings(spark_checkpoint_dir="hdfs://x/ck/")) == "hdfs://x/ck"
+    own = Settings(spark_master="local[2]", spark_app_id="app-1")
+    assert shared_folder(own) == shared_folder(own)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Settings(spark_master="spark://host:7077", spark_app_id="app-2"))
+
+
+def test_reviews_with_windows_line_ends_and_quoted_empty_cells(spark, tmp_path):
+    path = put(
+        tmp_path,
+        REVIEW_HEADER + '\r\nr1,o1,5,"","a\r\nb",2018-01-18 00:00:00,2018-01-18 21:46:59\r\n',
+        "crlf.csv",
+    )
+    row = tables.read_order_reviews(spark, path).first()
+    assert row.review_comment_title is None
+    assert row.review_comment_message == "a\nb"
+    assert row.review_answer_timestamp == dt.datetime(2018, 1, 18, 21, 46, 59)
