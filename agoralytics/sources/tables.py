@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from agoralytics.plans.staging import staged
 from agoralytics.schemas import TABLES, TableSpec
 
 REJECTED = "_rejected_line"
@@ -31,11 +32,15 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool)
 
 def line_ending_cleanup(df: DataFrame) -> DataFrame:
     """Strip a carriage return left at the end of any text column."""
+
+    def stripped(name: str) -> Column:
+        text = F.col(name)
+        shorter = F.substr(text, F.lit(1), F.length(text) - 1)
+        return F.when(F.endswith(text, F.lit("\r")), shorter).otherwise(text).alias(name)
+
     return df.select(
         *(
-            F.regexp_replace(field.name, r"\r\z", "").alias(field.name)
-            if isinstance(field.dataType, T.StringType)
-            else F.col(field.name)
+            stripped(field.name) if isinstance(field.dataType, T.StringType) else field.name
             for field in df.schema.fields
         )
     )
@@ -100,18 +105,27 @@ def rejected_rows(
 
 
 def first_of_each_key(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The first row read per key, the others dropped (a repeated key is ignored on load).
+    """The first row read per key; rows without a complete key are dropped.
 
-    Rows without a complete key are dropped too: a primary key column is never NULL.
-    The group-by keeps one candidate per key on the map side, so a key repeated
-    many times does not travel.
+    A narrow pass over the key columns finds the keys used more than once. As a
+    rule there are none, and the rows are written as they are read: they are
+    neither shuffled nor sorted. Otherwise only the rows of repeated keys are
+    grouped, one candidate per key leaving each task.
     """
-    row = F.struct(*df.columns)
-    keyed = df.dropna(subset=list(keys)).withColumn("_seen", F.monotonically_increasing_id())
-    kept = keyed.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(
-        F.min_by(row, "_seen").alias("_row")
+    names = list(keys)
+    complete = df.dropna(subset=names)
+    counted = complete.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = staged(counted.filter(F.col("_rows") > 1).select(*names), "repeated-keys")
+    if repeated.isEmpty():
+        return complete
+    numbered = complete.withColumn("_seen", F.monotonically_increasing_id())
+    kept = (
+        numbered.join(repeated, names, "left_semi")
+        .groupBy(*(F.col(k).alias(f"_key_{k}") for k in names))
+        .agg(F.min_by(F.struct(*df.columns), "_seen").alias("_row"))
+        .select("_row.*")
     )
-    return kept.select("_row.*")
+    return complete.join(repeated, names, "left_anti").select(*df.columns).unionByName(kept)
 
 
 def materialize_tables(tables: Mapping[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:
@@ -123,3 +137,11 @@ def materialize_tables(tables: Mapping[str, DataFrame], out_dir: str) -> dict[st
         (first_of_each_key(df, keys) if keys else df).write.mode("overwrite").parquet(path)
         copies[name] = df.sparkSession.read.schema(df.schema).parquet(path)
     return copies
+
+
+def open_tables(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+    """The typed copies written by ``materialize_tables`` from CSV input."""
+    return {
+        name: spark.read.schema(spec.schema).parquet(f"{out_dir}/{name}")
+        for name, spec in TABLES.items()
+    }

@@ -112,6 +112,23 @@ def test_materialized_tables_hold_the_first_row_of_each_key(spark, tmp_path):
     assert copies["sellers"].schema == TABLES["sellers"].schema
 
 
+def test_clean_tables_are_not_shuffled_on_load(spark, tmp_path):
+    header = ",".join(TABLES["sellers"].schema.names)
+    path = put(tmp_path, f"{header}\ns1,01310,a,SP\ns2,01311,b,RJ\n,01312,c,RJ\n")
+    kept = tables.first_of_each_key(tables.read_sellers(spark, path), ("seller_id",))
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.seller_id for r in kept.collect()) == ["s1", "s2"]
+
+
+def test_typed_copies_can_be_opened_again(spark, tmp_path):
+    empty = {name: spark.createDataFrame([], spec.schema) for name, spec in TABLES.items()}
+    tables.materialize_tables(empty, str(tmp_path / "typed"))
+    opened = tables.open_tables(spark, str(tmp_path / "typed"))
+    assert {name: df.schema for name, df in opened.items()} == {
+        name: spec.schema for name, spec in TABLES.items()
+    }
+
+
 def test_files_of_a_folder_are_read_in_parallel_tasks(spark, tmp_path):
     header = ",".join(TABLES["order_payments"].schema.names)
     for part in range(3):
