@@ -171,7 +171,8 @@ def rfm_pandas(orders: DataFrame, customers: DataFrame, payments: DataFrame) ->
         "customer_unique_id",
         elapsed_days(reference, F.col("last_purchase")).alias("recency"),
         F.col("orders_placed").alias("frequency"),
-        F.bround("spend", 2).alias("monetary"),
+        # a sum of nothing is zero in this model
+        F.coalesce("spend", F.lit(0).cast("decimal(22,2)")).alias("monetary"),
     )
     place, total = F.col("position"), F.col("total_rows")
     bin_no = quantile_bin(place, total, SCORE_LEVELS)

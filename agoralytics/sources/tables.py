@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,28 +106,30 @@ def rejected_rows(
     return _csv(spark, path, noting, multiline).filter(F.col(REJECTED).isNotNull())
 
 
-def first_of_each_key(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The first row read per key; rows without a complete key are dropped.
+def first_of_each_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first row read per key, a missing key column counting as one value.
 
     A narrow pass over the key columns finds the keys used more than once. As a
     rule there are none, and the rows are written as they are read: they are
     neither shuffled nor sorted. Otherwise only the rows of repeated keys are
     grouped, one candidate per key leaving each task.
     """
-    names = list(keys)
-    complete = df.dropna(subset=names)
-    counted = complete.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows"))
+    names = [f"_key_{k}" for k in keys]
+    counted = df.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names))).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
     repeated = staged(counted.filter(F.col("_rows") > 1).select(*names), "repeated-keys")
     if repeated.isEmpty():
-        return complete
-    numbered = complete.withColumn("_seen", F.monotonically_increasing_id())
+        return df
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)))
+    numbered = df.withColumn("_seen", F.monotonically_increasing_id())
     kept = (
-        numbered.join(repeated, names, "left_semi")
-        .groupBy(*(F.col(k).alias(f"_key_{k}") for k in names))
+        numbered.join(repeated, same)
+        .groupBy(*names)
         .agg(F.min_by(F.struct(*df.columns), "_seen").alias("_row"))
         .select("_row.*")
     )
-    return complete.join(repeated, names, "left_anti").select(*df.columns).unionByName(kept)
+    return df.join(repeated, same, "left_anti").unionByName(kept)
 
 
 def materialize_tables(tables: Mapping[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:

@@ -109,7 +109,7 @@ _CODE = "CAST(100 * r_score + 10 * f_score + m_score AS VARCHAR)"
 
 def _quartile_of_rank(order: str) -> str:
     # quantile edges of the ranks 1..n at 1 + (n - 1) * j / 4, right-closed
-    rank = f"ROW_NUMBER() OVER (ORDER BY {order}, customer_unique_id)"
+    rank = f"ROW_NUMBER() OVER (ORDER BY {order} NULLS FIRST, customer_unique_id)"
     edges = " + ".join(
         f"CAST({rank} > 1 + (COUNT(*) OVER () - 1) * {j}.0 / 4 AS INT)" for j in (1, 2, 3)
     )
@@ -138,7 +138,7 @@ STEPS: dict[str, str] = {
         "FROM x_done o JOIN m_order_items i USING (order_id) GROUP BY 1"
     ),
     "x_growth": (
-        "SELECT *, LAG(monthly_revenue) OVER (ORDER BY order_month) AS prev_month_revenue FROM x_month"
+        "SELECT *, LAG(monthly_revenue) OVER (ORDER BY order_month NULLS FIRST) AS prev_month_revenue FROM x_month"
     ),
     "x_state": (
         "SELECT customer_state, COUNT(DISTINCT customer_unique_id) AS unique_customers, "
@@ -185,16 +185,16 @@ STEPS: dict[str, str] = {
         "FROM x_paid GROUP BY customer_unique_id"
     ),
     "x_scored": (
-        "SELECT *, NTILE(4) OVER (ORDER BY recency_days DESC, customer_unique_id) AS r_score, "
+        "SELECT *, NTILE(4) OVER (ORDER BY recency_days DESC NULLS LAST, customer_unique_id) AS r_score, "
         "CASE WHEN frequency_orders > 1 THEN 4 ELSE 1 END AS f_score, "
-        "NTILE(4) OVER (ORDER BY monetary_spend, customer_unique_id) AS m_score FROM x_rfm"
+        "NTILE(4) OVER (ORDER BY monetary_spend NULLS FIRST, customer_unique_id) AS m_score FROM x_rfm"
     ),
     "x_six": f"SELECT *, {_CODE} AS rfm_code, {_label(_SIX)} AS customer_segment FROM x_scored",
     "x_seven": f"SELECT *, {_CODE} AS rfm_code, {_label(_SEVEN)} AS customer_segment FROM x_scored",
     "x_note": (
         "SELECT customer_unique_id, "
         f"{_elapsed('(SELECT MAX(bought) FROM x_paid)', 'MAX(bought)')} AS recency, "
-        "COUNT(DISTINCT order_id) AS frequency, SUM(payment_value) AS monetary "
+        "COUNT(DISTINCT order_id) AS frequency, COALESCE(SUM(payment_value), 0) AS monetary "
         "FROM x_paid GROUP BY customer_unique_id"
     ),
     "x_notescore": (
@@ -554,7 +554,7 @@ EXPECTED: dict[str, tuple[str, ...]] = {
     "rejected_rows": (
         "SELECT CAST(order_id AS VARCHAR) AS order_id, payment_sequential, payment_type, "
         "CAST(NULL AS BIGINT) AS payment_installments, payment_value, "
-        "CONCAT_WS(',', order_id, payment_sequential, payment_type, 'unknown', payment_value) AS raw_line "
+        "CONCAT(order_id, ',', payment_sequential, ',', payment_type, ',unknown,', payment_value) AS raw_line "
         "FROM m_order_payments WHERE order_id % 97 = 0",
         "order_id:s payment_sequential:i payment_type:s payment_installments:i payment_value:d2 raw_line:s",
     ),
@@ -678,11 +678,11 @@ EXPECTED: dict[str, tuple[str, ...]] = {
         "delay_rate_pct:d2",
     ),
     "delay_review_impact": (
-        "SELECT CASE WHEN is_delayed THEN 'Delayed Delivery' ELSE 'On-Time / Early Delivery' END "
-        "AS delivery_performance, COUNT(*) AS total_reviews, AVG(review_score) AS avg_review_score, "
-        f"{_per('COUNT(*) FILTER (WHERE review_score = 1)', 'COUNT(*)')} AS pct_1_star, "
-        f"{_per('COUNT(*) FILTER (WHERE review_score = 5)', 'COUNT(*)')} AS pct_5_star "
-        "FROM x_review GROUP BY is_delayed",
+        f"SELECT CASE WHEN {_ARRIVED} > {_PROMISED} THEN 'Delayed Delivery' ELSE 'On-Time / Early Delivery' END "
+        "AS delivery_performance, COUNT(review_id) AS total_reviews, AVG(review_score) AS avg_review_score, "
+        f"{_per('COUNT(*) FILTER (WHERE review_score = 1)', 'COUNT(review_id)')} AS pct_1_star, "
+        f"{_per('COUNT(*) FILTER (WHERE review_score = 5)', 'COUNT(review_id)')} AS pct_5_star "
+        f"FROM x_done JOIN m_order_reviews USING (order_id) WHERE {_ARRIVED} IS NOT NULL GROUP BY 1",
         "delivery_performance:s total_reviews:i avg_review_score:d2 pct_1_star:d2 pct_5_star:d2",
     ),
     "delivered_enriched": (
@@ -697,7 +697,8 @@ EXPECTED: dict[str, tuple[str, ...]] = {
         "delivered_orders:i late_delivery_pct:e2 avg_delivery_days:e1",
     ),
     "monthly_order_counts": (
-        "SELECT order_month AS month, COUNT(order_id) AS order_count FROM x_transit GROUP BY order_month",
+        "SELECT order_month AS month, COUNT(order_id) AS order_count FROM x_transit "
+        "WHERE order_month IS NOT NULL GROUP BY order_month",
         "month:s order_count:i",
     ),
     "order_heatmap": (
@@ -770,7 +771,7 @@ EXPECTED: dict[str, tuple[str, ...]] = {
     "rfm_segment_summary_sql": (
         "SELECT customer_segment, COUNT(*) AS customer_count, "
         f"{_per('COUNT(*)', '(SELECT COUNT(*) FROM x_six)')} AS pct_of_customers, "
-        f"SUM(monetary_spend) AS total_revenue, {_per('SUM(monetary_spend)', 'COUNT(*)', 1)} "
+        f"SUM(monetary_spend) AS total_revenue, {_per('SUM(monetary_spend)', 'COUNT(monetary_spend)', 1)} "
         "AS avg_spend_per_customer FROM x_six GROUP BY customer_segment",
         "customer_segment:s customer_count:i pct_of_customers:d2 total_revenue:d2 avg_spend_per_customer:d2",
     ),

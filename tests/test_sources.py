@@ -97,14 +97,15 @@ def test_line_ending_cleanup_touches_text_only(spark):
 
 def test_materialized_tables_hold_the_first_row_of_each_key(spark, tmp_path):
     sellers = spark.createDataFrame(
-        [("s1", "1", "first", "SP"), ("s2", "2", "x", "RJ"), ("s1", "3", "second", "MG"), (None, "4", "y", "BA")],
+        [("s1", "1", "first", "SP"), ("s2", "2", "x", "RJ"), ("s1", "3", "second", "MG"), (None, "4", "y", "BA"), (None, "5", "z", "BA")],
         TABLES["sellers"].schema,
     ).coalesce(1)
     translation = spark.createDataFrame([("a", "b"), ("a", "b")], TABLES["translation"].schema)
     copies = tables.materialize_tables(
         {"sellers": sellers, "translation": translation}, str(tmp_path / "typed")
     )
-    assert sorted((r.seller_id, r.seller_city) for r in copies["sellers"].collect()) == [
+    assert sorted((r.seller_id or "", r.seller_city) for r in copies["sellers"].collect()) == [
+        ("", "y"),
         ("s1", "first"),
         ("s2", "x"),
     ]
@@ -117,7 +118,7 @@ def test_clean_tables_are_not_shuffled_on_load(spark, tmp_path):
     path = put(tmp_path, f"{header}\ns1,01310,a,SP\ns2,01311,b,RJ\n,01312,c,RJ\n")
     kept = tables.first_of_each_key(tables.read_sellers(spark, path), ("seller_id",))
     assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
-    assert sorted(r.seller_id for r in kept.collect()) == ["s1", "s2"]
+    assert sorted(r.seller_id or "" for r in kept.collect()) == ["", "s1", "s2"]
 
 
 def test_typed_copies_can_be_opened_again(spark, tmp_path):
