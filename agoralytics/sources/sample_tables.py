@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -187,30 +188,32 @@ DERIVED: dict[str, DerivedTable] = {
 }
 
 
-def sample_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One marketplace table from the raw Parquet files in ``folder``."""
-    spec = DERIVED[name]
-    df = spark.read.parquet(f"{folder}/{spec.base}.parquet")
-    for other, left, right in spec.joins:
-        side = spark.read.parquet(f"{folder}/{other}.parquet")
-        df = df.join(side, df[left] == side[right])
-    if spec.where:
-        df = df.filter(spec.where)
-    df = df.selectExpr(*(f"{expr} AS {column}" for column, expr in spec.columns))
-    return df.distinct() if spec.distinct else df
-
-
 class SampleTables(Mapping):
     """The derived tables of a folder by name, each set up when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self._spark = spark
         self._folder = folder
+        self._raw: dict[str, DataFrame] = {}
         self._ready: dict[str, DataFrame] = {}
 
+    def _read(self, name: str) -> DataFrame:
+        if name not in self._raw:
+            self._raw[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._raw[name]
+
+    def _derive(self, spec: DerivedTable) -> DataFrame:
+        df = self._read(spec.base)
+        for other, left, right in spec.joins:
+            df = df.join(self._read(other), F.col(left) == F.col(right))
+        if spec.where:
+            df = df.filter(spec.where)
+        df = df.selectExpr(*(f"{expr} AS {column}" for column, expr in spec.columns))
+        return df.distinct() if spec.distinct else df
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._ready:
-            self._ready[name] = sample_table(self._spark, self._folder, name)
+            self._ready[name] = self._derive(DERIVED[name])
         return self._ready[name]
 
     def __iter__(self):
