@@ -63,10 +63,16 @@ def publish_view(name: str, df: DataFrame) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def publish_tables(tables: Tables) -> list[str]:
+    """Publish the base tables under their short names (the translation under its full one)."""
+    names = [_TABLE_VIEWS.get(name, name) for name in tables]
+    for name, df in zip(names, tables.values()):
+        publish_view(name, df)
+    return names
+
+
 def publish_views(tables: Tables, names: Iterable[str] | None = None) -> list[str]:
-    """Publish the base tables and the named views (all of them by default)."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(_TABLE_VIEWS.get(name, name))
+    """Publish the named views, all of them by default."""
     chosen = list(VIEWS if names is None else names)
     for name in chosen:
         publish_view(name, VIEWS[name](tables))

@@ -7,7 +7,9 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from agoralytics.schemas import TRANSLATION
 from checks.queries import QUERIES
 
 
@@ -68,3 +70,72 @@ def test_no_window_gathers_the_rows_of_a_large_table(plan, key):
 def test_hot_keys_are_summed_before_the_join(plan):
     text = plan("monthly_revenue_growth")
     assert re.search(r"HashAggregate.*?partial_sum", text, flags=re.S)
+
+
+@pytest.fixture
+def small_partitions(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)
+
+
+def final_plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_product_or_seller_is_split(spark, small_partitions):
+    from agoralytics.operators.masters import order_item_details
+
+    rows = spark.range(60_000).repartition(8)
+    hot = F.col("id") % 3 == 0
+    items = rows.select(
+        F.col("id").alias("order_id"),
+        F.lit(1).alias("order_item_id"),
+        F.when(hot, 0).otherwise(F.col("id") % 5000).alias("product_id"),
+        F.when(hot, 0).otherwise(F.col("id") % 700).alias("seller_id"),
+        (F.xxhash64("id") % 10_000 / 100).cast("decimal(10,2)").alias("price"),
+        F.lit(1).cast("decimal(10,2)").alias("freight_value"),
+    )
+    products = spark.range(5000).select(F.col("id").alias("product_id"), F.lit("a").alias("product_category_name"))
+    translation = spark.createDataFrame([("a", "b")], TRANSLATION)
+    known = spark.range(700).select(F.col("id").alias("seller_id"), F.lit("SP").alias("seller_state"), F.lit("c").alias("seller_city"))
+    df = order_item_details(items, products, translation, known)
+    assert len(re.findall(r"SortMergeJoin\(skew=true\)", final_plan(df).split("Initial Plan")[0])) == 2
+
+
+def test_a_hot_reviewed_order_is_split(spark, small_partitions):
+    from agoralytics.operators.hypothesis import review_delay_frame, score_counts
+
+    orders = spark.range(30_000).select(
+        F.col("id").alias("order_id"),
+        F.lit("delivered").alias("order_status"),
+        *(
+            F.lit(f"2017-01-0{day} 00:00:00").cast("timestamp_ntz").alias(name)
+            for day, name in enumerate(
+                ("order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date"), 1
+            )
+        ),
+    )
+    rows = spark.range(90_000).repartition(8)
+    reviews = rows.select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 30_000).alias("order_id"),
+        # varied values keep the hot partition from compressing away
+        (F.xxhash64("id") % 1_000_000).cast("int").alias("review_score"),
+    )
+    df = score_counts(review_delay_frame(orders, reviews))
+    assert "SortMergeJoin(skew=true)" in final_plan(df)
+    assert sum(r.n for r in df.collect()) == 90_000
