@@ -85,9 +85,9 @@ def month_number(ts: Column) -> Column:
 def month_key_of(number: Column) -> Column:
     """Inverse of ``month_number``."""
     year = F.floor(number / 12).cast("int")
-    return F.concat_ws(
-        "-",
+    return F.concat(
         F.lpad(year.cast("string"), 4, "0"),
+        F.lit("-"),
         F.lpad((number % 12 + 1).cast("string"), 2, "0"),
     )
 
@@ -99,7 +99,7 @@ def parse_month(text: str) -> int:
 
 
 def _time_of_day(ts: Column) -> Column:
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts)
+    return ts - ts.cast("date").cast("timestamp_ntz")
 
 
 def calendar_days(later: Column, earlier: Column) -> Column:

@@ -12,7 +12,8 @@ from agoralytics.functions.scalars import (
     flag,
     mean,
     money,
-    month_key,
+    month_key_of,
+    month_number,
     percent,
     ratio,
     require_money,
@@ -142,12 +143,14 @@ def monthly_revenue_growth(orders: DataFrame, order_items: DataFrame) -> DataFra
     """Revenue per month and its change against the previous month that has sales."""
     monthly = (
         with_status(orders)
-        .select("order_id", month_key(F.col("order_purchase_timestamp")).alias("order_month"))
+        .select("order_id", month_number(F.col("order_purchase_timestamp")).alias("month"))
         .join(items_per_order(order_items), "order_id")
-        .groupBy("order_month")
-        .agg(
-            F.count("order_id").alias("total_orders"),
-            money(F.sum("revenue")).alias("monthly_revenue"),
+        .groupBy("month")
+        .agg(F.count("order_id").alias("total_orders"), F.sum("revenue").alias("revenue"))
+        .select(
+            month_key_of(F.col("month")).alias("order_month"),
+            "total_orders",
+            money(F.col("revenue")).alias("monthly_revenue"),
         )
     )
     by_month = Window.orderBy("order_month")  # one row per calendar month

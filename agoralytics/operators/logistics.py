@@ -15,6 +15,8 @@ from agoralytics.functions.scalars import (
     mean,
     money,
     month_key,
+    month_key_of,
+    month_number,
     percent,
     weekday_name,
 )
@@ -271,12 +273,18 @@ def delay_vs_review_trend(order_master: DataFrame) -> DataFrame:
     """Delay rate and mean review score of the orders bought in each month."""
     score = F.col("review_score")
     return (
-        order_master.groupBy(month_key(F.col("order_purchase_timestamp")).alias("order_month"))
+        order_master.groupBy(month_number(F.col("order_purchase_timestamp")).alias("month"))
         .agg(
             F.count(F.lit(1)).alias("total_orders"),
             F.sum("is_delivery_delayed").alias("delayed_orders"),
             mean(F.sum(score), F.count(score), SCORE).alias("avg_review_score"),
         )
-        .withColumn("delay_rate_pct", percent(F.col("delayed_orders"), F.col("total_orders")))
+        .select(
+            month_key_of(F.col("month")).alias("order_month"),
+            "total_orders",
+            "delayed_orders",
+            "avg_review_score",
+            percent(F.col("delayed_orders"), F.col("total_orders")).alias("delay_rate_pct"),
+        )
         .orderBy("order_month")
     )
