@@ -1,0 +1,96 @@
+"""Records of large CSV files whose quoted cells hold line breaks.
+
+Spark's multi-line CSV reader gives a whole file to one task. Here the file is
+read as splittable lines instead. A line break lies inside a quoted cell exactly
+when an odd number of quotes precedes it in the file, so records are found from
+quote counts: running counts within each file block, and one small row per block
+for the counts before it. Only lines of records that span several lines are
+grouped; all others pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from agoralytics.plans.staging import staged
+
+_PLACE = ("file", "block")
+
+
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file under ``path``, from the listing alone."""
+    listed = spark.read.format("binaryFile").load(path)
+    return listed.agg(F.max("length")).first()[0] or 0
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their quote parity before and running record starts within the block.
+
+    ``odd`` tells whether an odd number of quotes precedes the line in its block.
+    ``even_starts`` and ``odd_starts`` count the lines up to this one that begin a
+    record if the block itself begins outside or inside a quoted cell.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    in_block = Window.partitionBy(*_PLACE).orderBy("line")
+    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        lines.withColumn("toggles", quotes % 2 == 1)
+        .withColumn("odd", F.coalesce(F.count_if("toggles").over(before), F.lit(0)) % 2 == 1)
+        .withColumn("even_starts", F.count_if(~F.col("odd")).over(upto))
+        .withColumn("odd_starts", F.count_if("odd").over(upto))
+    )
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """Per block: whether it begins inside a quoted cell, and the records begun before it."""
+    sizes = lines.groupBy(*_PLACE).agg(
+        F.count_if("toggles").alias("toggled"),
+        F.count_if(~F.col("odd")).alias("if_outside"),
+        F.count_if("odd").alias("if_inside"),
+    )
+    earlier = (
+        Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = F.coalesce(F.sum("toggled").over(earlier), F.lit(0)) % 2 == 1
+    begun = F.when(F.col("inside"), F.col("if_inside")).otherwise(F.col("if_outside"))
+    return (
+        sizes.withColumn("inside", inside)
+        .withColumn("earlier", F.coalesce(F.sum(begun).over(earlier), F.lit(0)))
+        .select(*_PLACE, "inside", "earlier")
+    )
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per CSV record, header records left out, inner line breaks kept."""
+    lines = staged(_numbered_lines(spark, path), "csv-lines")
+    placed = lines.join(_blocks(lines), list(_PLACE)).select(
+        "file",
+        "line",
+        "value",
+        "toggles",
+        # outside a quoted cell the line begins a record
+        (F.col("odd") == F.col("inside")).alias("begins"),
+        (
+            F.col("earlier")
+            + F.when(F.col("inside"), F.col("odd_starts")).otherwise(F.col("even_starts"))
+        ).alias("record"),
+    )
+    body = placed.filter(F.col("record") > 1)
+    whole = F.col("begins") & ~F.col("toggles")
+    single = body.filter(whole & (F.col("value") != "")).select("value")
+    parts = F.array_sort(F.collect_list(F.struct("line", "value")))
+    spanning = (
+        body.filter(~whole)
+        .groupBy("file", "record")
+        .agg(F.array_join(F.transform(parts, lambda part: part["value"]), "\n").alias("value"))
+        .select("value")
+    )
+    return single.unionByName(spanning)

@@ -12,24 +12,50 @@ from pyspark.sql import types as T
 
 from agoralytics.plans.staging import staged
 from agoralytics.schemas import TABLES, TableSpec
+from agoralytics.sources.records import csv_records, largest_file
 
 REJECTED = "_rejected_line"
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool) -> DataFrame:
-    # Header skipped, comma separated, quotes doubled inside quoted cells, an
-    # empty cell is NULL, a byte-order mark is dropped by the reader.
-    # Line mode splits large files over tasks; only free-text tables give it up.
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", REJECTED)
-        .csv(path)
-    )
+# Header skipped, comma separated, quotes doubled inside quoted cells; an empty
+# cell is NULL, an unreadable one is NULL and marks its row.
+_DIALECT = {
+    "quote": '"',
+    "escape": '"',
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": REJECTED,
+}
+
+
+def _csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    multiline: bool,
+    split_above: int | None = None,
+) -> DataFrame:
+    """Rows of a CSV file or folder; large files are split over tasks.
+
+    Line mode splits by itself. Where quoted cells may hold line breaks, a file
+    is one task of the multi-line reader unless one is larger than
+    ``split_above`` bytes (by default, what one task reads); then the records
+    are found first.
+    """
+    reader = spark.read.schema(schema).options(header=True, **_DIALECT)
+    if not multiline:
+        return reader.csv(path)
+    if split_above is None:
+        split_above = _bytes_per_task(spark)
+    if largest_file(spark, path) <= split_above:
+        return reader.option("multiLine", True).csv(path)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    row = F.from_csv("value", columns, _DIALECT)
+    return csv_records(spark, path).select(row.alias("row")).select("row.*")
+
+
+def _bytes_per_task(spark: SparkSession) -> int:
+    setting = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(setting)
 
 
 def line_ending_cleanup(df: DataFrame) -> DataFrame:
@@ -86,7 +112,7 @@ def read_order_payments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_order_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Reviews hold quoted line breaks, so a file is one task: supply many files."""
+    """Reviews hold quoted line breaks; see ``records`` for how large files are split."""
     return read_table(spark, "order_reviews", path)
 
 

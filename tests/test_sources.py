@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -12,6 +13,7 @@ from agoralytics.plans import views
 from agoralytics.plans.staging import shared_folder, staged
 from agoralytics.schemas import ORDERS, TABLES
 from agoralytics.sources import sinks, tables
+from agoralytics.sources.records import csv_records, largest_file
 
 REVIEW_HEADER = ",".join(TABLES["order_reviews"].schema.names)
 ORDER_HEADER = ",".join(ORDERS.names)
@@ -204,3 +206,53 @@ def test_reviews_with_windows_line_ends_and_quoted_empty_cells(spark, tmp_path):
     assert row.review_comment_title is None
     assert row.review_comment_message == "a\nb"
     assert row.review_answer_timestamp == dt.datetime(2018, 1, 18, 21, 46, 59)
+
+
+@pytest.fixture(scope="module")
+def review_files(tmp_path_factory):
+    """Three files with line breaks, quotes and empty lines inside quoted cells."""
+    rng = random.Random(7)
+    folder = tmp_path_factory.mktemp("reviews")
+    texts = ["", "plain", '"a\nb"', '"say ""hi""\n\n\nlong, text"', '"x,y"', '""""', '"\n"', '"ends\n"']
+    for part, (ending, encoding) in enumerate((("\n", "utf-8"), ("\r\n", "utf-8"), ("\n", "utf-8-sig"))):
+        rows = [
+            f"r{part}_{i},o{i},{rng.choice(['1', '5', '', 'bad'])},{rng.choice(texts)},{rng.choice(texts)},"
+            "2018-01-18 00:00:00,2018-01-18 21:46:59"
+            for i in range(150)
+        ]
+        text = "\n".join([REVIEW_HEADER, *rows, ""]).replace("\n", ending)
+        put(folder, text, f"part{part}.csv", encoding)
+    return str(folder)
+
+
+@pytest.mark.parametrize("block", [300, 1000, 20_000])
+def test_large_review_files_are_split_without_breaking_records(spark, review_files, block):
+    schema = TABLES["order_reviews"].schema
+    whole = tables.read_order_reviews(spark, review_files).collect()
+    assert len(whole) == 450
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert largest_file(spark, review_files) > 10_000
+        split = tables.read_order_reviews(spark, review_files)
+        if block < 10_000:
+            assert csv_records(spark, review_files).count() == 450
+            assert "multiLine" not in split._jdf.queryExecution().logical().toString()
+        assert sorted(split.collect(), key=str) == sorted(whole, key=str)
+        rejected = tables.rejected_rows(spark, review_files, schema, multiline=True)
+        assert {r.review_id for r in rejected.collect()} == {
+            r.review_id for r in whole if r.review_score is None
+        } - {
+            r.review_id
+            for r in spark.read.option("header", True)
+            .option("multiLine", True)
+            .option("escape", '"')
+            .csv(review_files)
+            .filter("review_score IS NULL")
+            .collect()
+        }
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
