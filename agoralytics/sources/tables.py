@@ -16,6 +16,10 @@ from agoralytics.sources.records import csv_records, largest_file
 
 REJECTED = "_rejected_line"
 
+# About ten seconds of one task. Finding the records of a larger file first costs
+# several times the work, but spreads it over the cluster.
+SPLIT_ABOVE = 1 << 30
+
 
 # Header skipped, comma separated, quotes doubled inside quoted cells; an empty
 # cell is NULL, an unreadable one is NULL and marks its row.
@@ -32,20 +36,17 @@ def _csv(
     path: str,
     schema: T.StructType,
     multiline: bool,
-    split_above: int | None = None,
+    split_above: int,
 ) -> DataFrame:
     """Rows of a CSV file or folder; large files are split over tasks.
 
     Line mode splits by itself. Where quoted cells may hold line breaks, a file
-    is one task of the multi-line reader unless one is larger than
-    ``split_above`` bytes (by default, what one task reads); then the records
-    are found first.
+    is one task of the multi-line reader, unless a file has more than
+    ``split_above`` bytes; then the records are found first.
     """
     reader = spark.read.schema(schema).options(header=True, **_DIALECT)
     if not multiline:
         return reader.csv(path)
-    if split_above is None:
-        split_above = _bytes_per_task(spark)
     if largest_file(spark, path) <= split_above:
         return reader.option("multiLine", True).csv(path)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -53,11 +54,6 @@ def _csv(
     return csv_records(spark, path).select(row.alias("row")).select("row.*")
 
 
-def _bytes_per_task(spark: SparkSession) -> int:
-    setting = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(setting)
-
-
 def line_ending_cleanup(df: DataFrame) -> DataFrame:
     """Strip a carriage return left at the end of any text column."""
 
@@ -81,10 +77,12 @@ def _clean(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.withColumns({name: F.lower(F.trim(name)) for name in spec.normalised})
 
 
-def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+def read_table(
+    spark: SparkSession, name: str, path: str, split_above: int = SPLIT_ABOVE
+) -> DataFrame:
     """One table from a CSV file or a folder of them. An unreadable cell is NULL."""
     spec = TABLES[name]
-    return _clean(_csv(spark, path, spec.schema, spec.multiline), spec)
+    return _clean(_csv(spark, path, spec.schema, spec.multiline, split_above), spec)
 
 
 def read_customers(spark: SparkSession, path: str) -> DataFrame:
@@ -111,9 +109,11 @@ def read_order_payments(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, "order_payments", path)
 
 
-def read_order_reviews(spark: SparkSession, path: str) -> DataFrame:
+def read_order_reviews(
+    spark: SparkSession, path: str, split_above: int = SPLIT_ABOVE
+) -> DataFrame:
     """Reviews hold quoted line breaks; see ``records`` for how large files are split."""
-    return read_table(spark, "order_reviews", path)
+    return read_table(spark, "order_reviews", path, split_above)
 
 
 def read_translation(spark: SparkSession, path: str) -> DataFrame:
@@ -125,11 +125,15 @@ def read_geolocation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rejected_rows(
-    spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    multiline: bool = False,
+    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """Rows with an unreadable cell or a wrong cell count: parsed columns plus the raw line."""
     noting = T.StructType([*schema.fields, T.StructField(REJECTED, T.StringType(), True)])
-    return _csv(spark, path, noting, multiline).filter(F.col(REJECTED).isNotNull())
+    return _csv(spark, path, noting, multiline, split_above).filter(F.col(REJECTED).isNotNull())
 
 
 def first_of_each_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
