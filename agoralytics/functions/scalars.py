@@ -17,8 +17,8 @@ COUNT = "decimal(20,0)"
 MONEY = "decimal(24,2)"
 SCORE = "decimal(24,4)"
 
-# Weekday names, Sunday first, as ``dayofweek`` counts them.
-WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+# Weekday names, Monday first.
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
 def flag(condition: Column) -> Column:
@@ -125,8 +125,13 @@ def complete_months(earlier: Column, later: Column) -> Column:
     )
 
 
+def monday_first(ts: Column) -> Column:
+    """Day of the week, 1 for Monday to 7 for Sunday."""
+    return F.weekday(ts) + 1
+
+
 def weekday_name(ts: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.dayofweek(ts))
+    return F.element_at(F.array(*map(F.lit, WEEKDAYS)), monday_first(ts))
 
 
 def first_match(rules: Sequence[tuple[Column, str]], default: str) -> Column:

@@ -13,12 +13,12 @@ from agoralytics.functions.scalars import (
     elapsed_days,
     flag,
     mean,
+    monday_first,
     money,
     month_key,
     month_key_of,
     month_number,
     percent,
-    weekday_name,
 )
 from agoralytics.operators.common import items_per_order, label_rows, with_status
 
@@ -129,19 +129,17 @@ def monthly_order_counts(orders: DataFrame) -> DataFrame:
 def order_heatmap(orders: DataFrame) -> DataFrame:
     """Orders by weekday (Monday first) and hour ``h00``..``h23``; no orders is NULL."""
     purchased = F.col("order_purchase_timestamp")
+    hours = list(range(24))
     counted = (
         orders.filter(purchased.isNotNull())
-        .select(
-            weekday_name(purchased).alias("dow"),
-            F.format_string("h%02d", F.hour(purchased)).alias("hour"),
-            "order_id",
-        )
-        .groupBy("dow")
-        .pivot("hour", [f"h{hour:02d}" for hour in range(24)])
+        .select(monday_first(purchased).alias("day_no"), F.hour(purchased).alias("hour"), "order_id")
+        .groupBy("day_no")
+        .pivot("hour", hours)
         .agg(F.count("order_id"))
+        .withColumnsRenamed({str(hour): f"h{hour:02d}" for hour in hours})
     )
-    week = label_rows(orders.sparkSession, "dow", WEEKDAYS[1:] + WEEKDAYS[:1])
-    return week.withColumnRenamed("place", "day_no").join(counted, "dow", "left").orderBy("day_no")
+    week = label_rows(orders.sparkSession, "dow", WEEKDAYS).withColumnRenamed("place", "day_no")
+    return week.join(counted, "day_no", "left").orderBy("day_no")
 
 
 def delivery_day_counts(orders: DataFrame) -> DataFrame:
@@ -204,14 +202,14 @@ def delivery_time_kde(orders: DataFrame, gridsize: int = CURVE_POINTS) -> DataFr
     all_days = Window.partitionBy()  # one row per elapsed day
     x, n = F.col("delivery_days").cast("double"), F.col("n")
     total, first, second = (F.sum(v).over(all_days) for v in (n, x * n, x * x * n))
-    variance = (second - first * first / total) / (total - 1)
+    variance = F.try_divide(second - first * first / total, total - 1)
     lo, hi = F.min(x).over(all_days), F.max(x).over(all_days)
     days = delivery_day_counts(orders).select(
         x.alias("x"),
         (n / total).alias("weight"),
         lo.alias("lo"),
         ((hi - lo) / (gridsize - 1)).alias("step"),
-        F.when(total > 1, F.sqrt(variance) * F.pow(total, F.lit(-0.2))).alias("bandwidth"),
+        (F.sqrt(F.greatest(variance, F.lit(0.0))) * F.pow(total, F.lit(-0.2))).alias("bandwidth"),
     )
     point = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point")
     spot = F.col("lo") + F.col("point") * F.col("step")

@@ -231,6 +231,10 @@ def test_histogram_keeps_empty_bins_and_closes_the_last(spark):
     same = logistics.delivery_time_histogram(orders.filter("order_id = 'o3'"), bins=2).collect()
     assert [(r.bin_start, r.bin_end, r.order_count) for r in same] == [(9.5, 10.0, 0), (10.0, 10.5, 1)]
     assert logistics.delivery_time_histogram(orders.filter("order_id = 'none'"), bins=2).count() == 0
+    # a density needs spread
+    for alike in ("order_id = 'o3'", "order_id IN ('o0', 'o1')", "order_id = 'none'"):
+        curve = logistics.delivery_time_kde(orders.filter(alike), gridsize=3).collect()
+        assert {r.density for r in curve} <= {None}
 
 
 def test_density_matches_the_formula(spark):
