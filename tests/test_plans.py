@@ -9,7 +9,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from agoralytics.schemas import TRANSLATION
+from agoralytics.plans.views import VIEWS
+from agoralytics.schemas import TABLES, TRANSLATION
 from checks.queries import QUERIES
 
 
@@ -139,3 +140,23 @@ def test_a_hot_reviewed_order_is_split(spark, small_partitions):
     df = score_counts(review_delay_frame(orders, reviews))
     assert "SortMergeJoin(skew=true)" in final_plan(df)
     assert sum(r.n for r in df.collect()) == 90_000
+
+
+@pytest.fixture(scope="module")
+def empty_tables(spark, tmp_path_factory):
+    """The nine tables with their declared types and no rows, as Parquet."""
+    folder = tmp_path_factory.mktemp("declared")
+    tables = {}
+    for name, spec in TABLES.items():
+        spark.createDataFrame([], spec.schema).write.parquet(f"{folder}/{name}")
+        tables[name] = spark.read.schema(spec.schema).parquet(f"{folder}/{name}")
+    return tables
+
+
+@pytest.mark.parametrize("name", sorted(VIEWS))
+def test_views_aggregate_by_hash_and_accept_empty_tables(empty_tables, name):
+    df = VIEWS[name](empty_tables)
+    text = plan_of(df)
+    assert "SortAggregate" not in text
+    assert "ObjectHashAggregate" not in text
+    assert df.count() <= len(TABLES)
