@@ -108,19 +108,18 @@ def rfm_scores(rfm_raw: DataFrame, n: int = SCORE_LEVELS) -> DataFrame:
     )
 
 
-def rfm_customer_segments(
-    orders: DataFrame, customers: DataFrame, payments: DataFrame
-) -> DataFrame:
-    """Scores, three-digit code and the seven-label segment of every customer."""
-    scores = rfm_scores(customer_rfm_raw(orders, customers, payments))
+def scored_customers(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
+    """The scores behind the three results below; compute once when several are wanted."""
+    return rfm_scores(customer_rfm_raw(orders, customers, payments))
+
+
+def label_customers(scores: DataFrame) -> DataFrame:
+    """Scores with the three-digit code and the seven-label segment."""
     return scores.withColumn("rfm_code", _rfm_code()).withColumn("customer_segment", segment(True))
 
 
-def rfm_top100(
-    orders: DataFrame, customers: DataFrame, payments: DataFrame, k: int = 100
-) -> DataFrame:
+def top_spenders(scores: DataFrame, k: int = 100) -> DataFrame:
     """The ``k`` highest spenders with code and six-label segment."""
-    scores = rfm_scores(customer_rfm_raw(orders, customers, payments))
     return (
         scores.select(
             "customer_unique_id",
@@ -135,11 +134,8 @@ def rfm_top100(
     )
 
 
-def rfm_segment_summary_sql(
-    orders: DataFrame, customers: DataFrame, payments: DataFrame
-) -> DataFrame:
+def summarise_segments(scores: DataFrame) -> DataFrame:
     """Size and revenue of the six-label segments."""
-    scores = rfm_scores(customer_rfm_raw(orders, customers, payments))
     everything = Window.partitionBy()  # one row per segment label
     spend = F.col("monetary_spend")
     per_segment = scores.groupBy(segment(False).alias("customer_segment")).agg(
@@ -158,6 +154,24 @@ def rfm_segment_summary_sql(
     ).orderBy(F.desc("total_revenue"), "customer_segment")
 
 
+def rfm_customer_segments(
+    orders: DataFrame, customers: DataFrame, payments: DataFrame
+) -> DataFrame:
+    return label_customers(scored_customers(orders, customers, payments))
+
+
+def rfm_top100(
+    orders: DataFrame, customers: DataFrame, payments: DataFrame, k: int = 100
+) -> DataFrame:
+    return top_spenders(scored_customers(orders, customers, payments), k)
+
+
+def rfm_segment_summary_sql(
+    orders: DataFrame, customers: DataFrame, payments: DataFrame
+) -> DataFrame:
+    return summarise_segments(scored_customers(orders, customers, payments))
+
+
 def rfm_pandas(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
     """Notebook model: recency, frequency, monetary, scores, code and seven-label segment."""
     # The reference date is the maximum of this very frame: stage it, so that

@@ -71,11 +71,24 @@ def publish_tables(tables: Tables) -> list[str]:
     return names
 
 
+# Views drawn from the same customer scores.
+_FROM_SCORES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "vw_rfm_customer_segments": rfm.label_customers,
+    "vw_rfm_top100": rfm.top_spenders,
+}
+
+
 def publish_views(tables: Tables, names: Iterable[str] | None = None) -> list[str]:
-    """Publish the named views, all of them by default."""
+    """Publish the named views, all of them by default. Customers are scored once for all."""
     chosen = list(VIEWS if names is None else names)
+    scores = None
     for name in chosen:
-        publish_view(name, VIEWS[name](tables))
+        if name in _FROM_SCORES:
+            if scores is None:
+                scores = rfm.scored_customers(*(tables[t] for t in _PAYING))
+            publish_view(name, _FROM_SCORES[name](scores))
+        else:
+            publish_view(name, VIEWS[name](tables))
     return chosen
 
 
