@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoralytics.functions.scalars import month_key_of, month_number, parse_month, percent
-from agoralytics.operators.common import with_status
+from agoralytics.operators.common import DELIVERED, with_status
 
 # The default cohort window and the reported month offsets.
 FIRST_COHORT = "2017-01"
@@ -25,7 +25,12 @@ def _month_bits(month: Column, base: int) -> Column:
 
 
 def cohort_activity(
-    orders: DataFrame, customers: DataFrame, lo: str, hi: str, offsets: Sequence[int]
+    orders: DataFrame,
+    customers: DataFrame,
+    lo: str,
+    hi: str,
+    offsets: Sequence[int],
+    status: str = DELIVERED,
 ) -> DataFrame:
     """Per first-purchase month ``lo``..``hi``: customers active ``offsets`` months later.
 
@@ -37,7 +42,7 @@ def cohort_activity(
     words = (last - start + max(offsets)) // _WORD + 1
     month = F.col("month")
     bought = (
-        with_status(orders)
+        with_status(orders, status)
         .select("customer_id", month_number(F.col("order_purchase_timestamp")).alias("month"))
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
         .filter(F.col("customer_unique_id").isNotNull())
@@ -69,22 +74,27 @@ def cohort_retention_counts(
     lo: str = FIRST_COHORT,
     hi: str = LAST_COHORT,
     offsets: Sequence[int] = OFFSETS,
+    status: str = DELIVERED,
 ) -> DataFrame:
     """Active customers by cohort; the column of offset 0 is the cohort size."""
     return (
-        cohort_activity(orders, customers, lo, hi, offsets)
+        cohort_activity(orders, customers, lo, hi, offsets, status)
         .withColumnRenamed("month_0", "month_0_base")
         .orderBy("cohort_month")
     )
 
 
 def cohort_retention_pct(
-    orders: DataFrame, customers: DataFrame, lo: str = FIRST_COHORT, hi: str = LAST_COHORT
+    orders: DataFrame,
+    customers: DataFrame,
+    lo: str = FIRST_COHORT,
+    hi: str = LAST_COHORT,
+    status: str = DELIVERED,
 ) -> DataFrame:
     """Cohort size and the share of it active 1, 2, 3 and 6 months later."""
     base = F.col("month_0")
     return (
-        cohort_activity(orders, customers, lo, hi, (0, 1, 2, 3, 6))
+        cohort_activity(orders, customers, lo, hi, (0, 1, 2, 3, 6), status)
         .select(
             "cohort_month",
             base.alias("cohort_size"),
@@ -98,10 +108,14 @@ def cohort_retention_pct(
 
 
 def cohort_retention(
-    orders: DataFrame, customers: DataFrame, lo: str = FIRST_COHORT, hi: str = LAST_COHORT
+    orders: DataFrame,
+    customers: DataFrame,
+    lo: str = FIRST_COHORT,
+    hi: str = LAST_COHORT,
+    status: str = DELIVERED,
 ) -> DataFrame:
     """Counts and shares side by side."""
-    counts = cohort_retention_counts(orders, customers, lo, hi)
+    counts = cohort_retention_counts(orders, customers, lo, hi, OFFSETS, status)
     return counts.withColumns(
         {
             f"retention_m{k}_pct": percent(F.col(f"month_{k}"), F.col("month_0_base"))

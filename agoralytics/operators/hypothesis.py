@@ -17,7 +17,7 @@ from agoralytics.functions.tails import (
     normal_upper_tail,
     student_two_sided,
 )
-from agoralytics.operators.common import label_rows, with_status
+from agoralytics.operators.common import DELIVERED, label_rows, with_status
 
 # Group labels, score scale, delay bins (open below, closed above).
 DELAYED = "Delayed"
@@ -32,7 +32,9 @@ KEEP = "FAIL TO REJECT H0"
 ALPHA = 0.05
 
 
-def review_delay_frame(orders: DataFrame, order_reviews: DataFrame) -> DataFrame:
+def review_delay_frame(
+    orders: DataFrame, order_reviews: DataFrame, status: str = DELIVERED
+) -> DataFrame:
     """Delivered orders × their reviews, rows without a date or score left out."""
     purchased = F.col("order_purchase_timestamp")
     arrived = F.col("order_delivered_customer_date")
@@ -40,7 +42,7 @@ def review_delay_frame(orders: DataFrame, order_reviews: DataFrame) -> DataFrame
     score = F.col("review_score")
     late = arrived > promised
     return (
-        with_status(orders)
+        with_status(orders, status)
         .filter(arrived.isNotNull() & promised.isNotNull())
         .join(order_reviews.select("order_id", score).filter(score.isNotNull()), "order_id")
         .select(

@@ -19,6 +19,7 @@ from agoralytics.functions.scalars import (
     require_money,
 )
 from agoralytics.operators.common import (
+    DELIVERED,
     items_per_order,
     labelled_products,
     score_per_order,
@@ -26,10 +27,12 @@ from agoralytics.operators.common import (
 )
 
 
-def repeat_customer_rate(orders: DataFrame, customers: DataFrame) -> DataFrame:
+def repeat_customer_rate(
+    orders: DataFrame, customers: DataFrame, status: str = DELIVERED
+) -> DataFrame:
     """Customers with more than one delivered order."""
     buyers = (
-        with_status(orders)
+        with_status(orders, status)
         .select("order_id", "customer_id")
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
         .groupBy("customer_unique_id")
@@ -42,7 +45,7 @@ def repeat_customer_rate(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def business_summary(
-    orders: DataFrame, customers: DataFrame, order_items: DataFrame
+    orders: DataFrame, customers: DataFrame, order_items: DataFrame, status: str = DELIVERED
 ) -> DataFrame:
     """One row of totals over delivered orders that have items and a customer.
 
@@ -53,7 +56,7 @@ def business_summary(
     require_money(order_items, "price", "freight_value")
     price, freight = cents("price"), cents("freight_value")
     sold = (
-        with_status(orders)
+        with_status(orders, status)
         .select("order_id", "customer_id")
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
         .join(
@@ -113,11 +116,13 @@ def payment_breakdown(order_payments: DataFrame) -> DataFrame:
     ).orderBy(F.desc("total_payment_value"), "payment_type")
 
 
-def state_revenue(orders: DataFrame, customers: DataFrame, order_items: DataFrame) -> DataFrame:
+def state_revenue(
+    orders: DataFrame, customers: DataFrame, order_items: DataFrame, status: str = DELIVERED
+) -> DataFrame:
     """Buyers, orders and revenue by customer state, delivered orders."""
     people = customers.select("customer_id", "customer_unique_id", "customer_state")
     return (
-        with_status(orders)
+        with_status(orders, status)
         .select("order_id", "customer_id")
         .join(people, "customer_id")
         .join(items_per_order(order_items), "order_id")
@@ -138,10 +143,12 @@ def state_revenue_top10(
     return state_revenue(orders, customers, order_items).limit(k)
 
 
-def monthly_revenue_growth(orders: DataFrame, order_items: DataFrame) -> DataFrame:
+def monthly_revenue_growth(
+    orders: DataFrame, order_items: DataFrame, status: str = DELIVERED
+) -> DataFrame:
     """Revenue per month and its change against the previous month that has sales."""
     monthly = (
-        with_status(orders)
+        with_status(orders, status)
         .select("order_id", month_number(F.col("order_purchase_timestamp")).alias("month"))
         .join(items_per_order(order_items), "order_id")
         .groupBy("month")
@@ -168,6 +175,7 @@ def category_revenue(
     translation: DataFrame,
     order_reviews: DataFrame,
     missing: str = "Unknown",
+    status: str = DELIVERED,
 ) -> DataFrame:
     """Orders, units, sales and mean rating by category, delivered orders.
 
@@ -188,7 +196,7 @@ def category_revenue(
         )
     )
     scored = (
-        with_status(orders)
+        with_status(orders, status)
         .select("order_id")
         .join(score_per_order(order_reviews), "order_id", "left")
     )

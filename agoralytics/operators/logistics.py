@@ -20,7 +20,7 @@ from agoralytics.functions.scalars import (
     month_number,
     percent,
 )
-from agoralytics.operators.common import items_per_order, label_rows, with_status
+from agoralytics.operators.common import DELIVERED, items_per_order, label_rows, with_status
 
 _MOMENTS = (
     "order_purchase_timestamp",
@@ -36,11 +36,13 @@ def _moments() -> tuple[Column, Column, Column]:
     return purchased, arrived, promised
 
 
-def delivery_by_state(orders: DataFrame, customers: DataFrame) -> DataFrame:
+def delivery_by_state(
+    orders: DataFrame, customers: DataFrame, status: str = DELIVERED
+) -> DataFrame:
     """Mean delivery and promised days and the delay rate by customer state."""
     purchased, arrived, promised = _moments()
     arrivals = (
-        with_status(orders)
+        with_status(orders, status)
         .filter(arrived.isNotNull())
         .join(customers.select("customer_id", "customer_state"), "customer_id")
     )
@@ -58,7 +60,9 @@ def delivery_by_state(orders: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def delay_review_impact(orders: DataFrame, order_reviews: DataFrame) -> DataFrame:
+def delay_review_impact(
+    orders: DataFrame, order_reviews: DataFrame, status: str = DELIVERED
+) -> DataFrame:
     """Review scores of delayed against punctual deliveries; every review counts once."""
     _, arrived, promised = _moments()
     score = F.col("review_score")
@@ -71,7 +75,7 @@ def delay_review_impact(orders: DataFrame, order_reviews: DataFrame) -> DataFram
     )
     label = F.when(arrived > promised, "Delayed Delivery").otherwise("On-Time / Early Delivery")
     return (
-        with_status(orders)
+        with_status(orders, status)
         .filter(arrived.isNotNull())
         .select("order_id", label.alias("delivery_performance"))
         .join(per_order, "order_id")
@@ -85,10 +89,10 @@ def delay_review_impact(orders: DataFrame, order_reviews: DataFrame) -> DataFram
     )
 
 
-def delivered_enriched(orders: DataFrame) -> DataFrame:
+def delivered_enriched(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
     """Delivered orders with elapsed days, a late mark (unknown counts as punctual) and the month."""
     purchased, arrived, promised = _moments()
-    return with_status(orders).withColumns(
+    return with_status(orders, status).withColumns(
         {
             "delivery_days": elapsed_days(arrived, purchased),
             "is_delayed": F.coalesce(arrived > promised, F.lit(False)),
@@ -97,9 +101,9 @@ def delivered_enriched(orders: DataFrame) -> DataFrame:
     )
 
 
-def delivery_headline(orders: DataFrame) -> DataFrame:
+def delivery_headline(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
     days = F.col("delivery_days")
-    totals = delivered_enriched(orders).agg(
+    totals = delivered_enriched(orders, status).agg(
         F.count(F.lit(1)).alias("delivered_orders"),
         F.count_if("is_delayed").alias("late"),
         F.sum(days).alias("days"),
@@ -116,9 +120,9 @@ def delivery_headline(orders: DataFrame) -> DataFrame:
     )
 
 
-def monthly_order_counts(orders: DataFrame) -> DataFrame:
+def monthly_order_counts(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
     return (
-        delivered_enriched(orders)
+        delivered_enriched(orders, status)
         .filter(F.col("order_month").isNotNull())
         .groupBy(F.col("order_month").alias("month"))
         .agg(F.count("order_id").alias("order_count"))
@@ -142,10 +146,10 @@ def order_heatmap(orders: DataFrame) -> DataFrame:
     return week.join(counted, "day_no", "left").orderBy("day_no")
 
 
-def delivery_day_counts(orders: DataFrame) -> DataFrame:
+def delivery_day_counts(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
     """Delivered orders per elapsed day: the small table behind the distribution measures."""
     return (
-        delivered_enriched(orders)
+        delivered_enriched(orders, status)
         .filter(F.col("delivery_days").isNotNull())
         .groupBy("delivery_days")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -233,15 +237,15 @@ def delivery_median(orders: DataFrame) -> DataFrame:
     )
 
 
-def delivered_share(orders: DataFrame) -> DataFrame:
+def delivered_share(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
     return orders.agg(
         F.count(F.lit(1)).alias("total_orders"),
-        F.count_if(F.col("order_status") == "delivered").alias("delivered_orders"),
+        F.count_if(F.col("order_status") == status).alias("delivered_orders"),
     ).withColumn("delivered_pct", percent(F.col("delivered_orders"), F.col("total_orders")))
 
 
 def freight_vs_delivery_by_state(
-    orders: DataFrame, customers: DataFrame, order_items: DataFrame
+    orders: DataFrame, customers: DataFrame, order_items: DataFrame, status: str = DELIVERED
 ) -> DataFrame:
     """Mean freight next to mean delivery days, states that have both; one pass over the orders."""
     purchased, arrived, _ = _moments()
@@ -250,7 +254,7 @@ def freight_vs_delivery_by_state(
         "order_id", "freight", "freight_rows", "item_rows"
     )
     return (
-        with_status(orders)
+        with_status(orders, status)
         .select("order_id", "customer_id", taken.alias("taken"))
         .join(customers.select("customer_id", "customer_state"), "customer_id")
         .join(freight, "order_id", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from agoralytics.functions.ranking import exact_quantiles
 from agoralytics.functions.scalars import complete_months, flag, money, percent
-from agoralytics.operators.common import payment_per_order, with_status
+from agoralytics.operators.common import DELIVERED, payment_per_order, with_status
 
 
 def _stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -257,11 +257,11 @@ def describe_rfm(rfm: DataFrame) -> DataFrame:
 
 
 def analysis_set_counts(
-    orders: DataFrame, customers: DataFrame, order_payments: DataFrame
+    orders: DataFrame, customers: DataFrame, order_payments: DataFrame, status: str = DELIVERED
 ) -> DataFrame:
     """Size of the delivered-and-paid set: rows, distinct customers, money."""
     paid = (
-        with_status(orders)
+        with_status(orders, status)
         .select("order_id", "customer_id")
         .join(payment_per_order(order_payments), "order_id")
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")

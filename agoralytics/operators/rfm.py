@@ -25,7 +25,7 @@ from agoralytics.functions.scalars import (
     quantile_bin,
     tile_number,
 )
-from agoralytics.operators.common import payment_per_order, with_status
+from agoralytics.operators.common import DELIVERED, payment_per_order, with_status
 from agoralytics.plans.staging import staged
 
 # Segment labels.
@@ -64,10 +64,12 @@ def _frequency_score(orders_placed: str) -> Column:
     return F.when(F.col(orders_placed) > 1, SCORE_LEVELS).otherwise(1)
 
 
-def _per_customer(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
+def _per_customer(
+    orders: DataFrame, customers: DataFrame, payments: DataFrame, status: str = DELIVERED
+) -> DataFrame:
     """Last purchase, number of orders and spend over delivered, paid orders."""
     return (
-        with_status(orders)
+        with_status(orders, status)
         .select("order_id", "customer_id", "order_purchase_timestamp")
         .join(payment_per_order(payments), "order_id")
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
@@ -80,9 +82,11 @@ def _per_customer(orders: DataFrame, customers: DataFrame, payments: DataFrame)
     )
 
 
-def customer_rfm_raw(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
+def customer_rfm_raw(
+    orders: DataFrame, customers: DataFrame, payments: DataFrame, status: str = DELIVERED
+) -> DataFrame:
     reference = orders.agg(F.max("order_purchase_timestamp")).scalar()
-    return _per_customer(orders, customers, payments).select(
+    return _per_customer(orders, customers, payments, status).select(
         "customer_unique_id",
         calendar_days(reference, F.col("last_purchase")).alias("recency_days"),
         F.col("orders_placed").alias("frequency_orders"),
@@ -172,12 +176,16 @@ def rfm_segment_summary_sql(
     return summarise_segments(scored_customers(orders, customers, payments))
 
 
-def rfm_pandas(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
+def rfm_pandas(
+    orders: DataFrame, customers: DataFrame, payments: DataFrame, status: str = DELIVERED
+) -> DataFrame:
     """Notebook model: recency, frequency, monetary, scores, code and seven-label segment."""
     # The reference date is the maximum of this very frame: stage it, so that
     # the joins run once and the maximum reads a single column.
     people = staged(
-        _per_customer(orders, customers, payments).filter(F.col("customer_unique_id").isNotNull()),
+        _per_customer(orders, customers, payments, status).filter(
+            F.col("customer_unique_id").isNotNull()
+        ),
         "customers",
     )
     reference = people.agg(F.max("last_purchase")).scalar()

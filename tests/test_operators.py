@@ -91,6 +91,11 @@ def test_growth_skips_missing_months_and_zero_bases(months):
     ]
 
 
+def test_another_status(months):
+    got = tuples(kpis.monthly_revenue_growth(*months, status="canceled"))
+    assert got == [("2016-12", 1, Decimal("1008.00"), None, None)]
+
+
 def test_growth_multiple(spark, months):
     monthly = kpis.monthly_revenue_growth(*months)
     assert tuples(kpis.revenue_growth_multiple(monthly, "2016-10", "2016-12")) == [
