@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agoralytics.llm import packing, sharding, simhash
+from agoralytics.llm import decontamination, packing, pseudonyms, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op2_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, folder, "documents"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"), SHARDS)
 
@@ -36,7 +48,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
+    "op2_pseudonyms": op2_pseudonyms,
     "op3_packing": op3_packing,
+    "op4_decontamination": op4_decontamination,
     "op6_sharding": op6_sharding,
     "op10_simhash": op10_simhash,
 }
