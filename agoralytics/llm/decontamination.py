@@ -170,9 +170,12 @@ class Index:
 
     def overlaps(self, item: int, words: list[bytes]) -> tuple[float, float, float]:
         """Shares of an item's shingles that a passage holds: all, of the question, of the answer."""
-        have = shingles(words)
+        have = {n: {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} for n in range(1, SHINGLE_WORDS + 1)}
+
+        def share(part: set[tuple[bytes, ...]]) -> float:
+            return sum(x in have[len(x)] for x in part) / len(part) if part else 1.0
+
         question, answer, whole = self.parts[item]
-        share = lambda part: len(part & have) / len(part) if part else 1.0
         return share(whole), share(question), share(answer)
 
 

@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from agoralytics.llm import decontamination, packing, pseudonyms, quality, sharding, simhash
+from pyspark.sql import functions as F
+
+from agoralytics.llm import (
+    covertree,
+    decontamination,
+    fixity,
+    licences,
+    packing,
+    pseudonyms,
+    quality,
+    sharding,
+    simhash,
+)
+from agoralytics.plans.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,10 +51,49 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit an archive of all pages against a replica in which some records have changed or are lost."""
+    pages = table(spark, folder, "pages")
+    record = fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    draw = F.coalesce(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(0))
+    middle = F.floor(F.length("record") / 2).cast("int")
+    byte = F.when(F.substr("record", middle, F.lit(1)) == F.lit("x").cast("binary"), "y").otherwise("x")
+    damaged = F.concat(F.substr("record", F.lit(1), middle - 1), byte.cast("binary"), F.substr("record", middle + 1))
+    copy = F.when(draw % 97 == 3, damaged).when(draw % 193 == 5, None).otherwise(F.col("record"))
+    digests = pages.select("page_id", record.alias("record"), draw.alias("draw")).select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        F.length("record").cast("bigint").alias("length"),
+        F.sha2("record", 256).alias("digest"),
+        F.sha2(copy, 256).alias("copy_digest"),
+    )
+    archive = staged(fixity.manifest(staged(digests, "digests")), "archive")
+    replica = archive.where("copy_digest IS NOT NULL").withColumn("digest", F.col("copy_digest"))
+    found = fixity.audit(archive, replica)
+    return found.join(archive.select("file", "position", "page_id"), ["file", "position"])
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"), SHARDS)
 
 
+def op7_covertree(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.embedding_links(table(spark, folder, "embeddings"))
+
+
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of all documents, filed under source and language in folders of sixteen by id."""
+    docs = table(spark, folder, "documents")
+    number = F.coalesce("doc_id", F.lit(0))
+    shelf = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("xx")), F.floor(number / 256).cast("string"))
+    inner = F.concat_ws("/", shelf, F.pmod(F.floor(number / 16), F.lit(16)).cast("string"))
+    place = (
+        F.when(number % 64 == 0, F.concat(shelf, F.lit("/LICENSE")))
+        .when(number % 16 == 0, F.concat(inner, F.lit("/LICENSE.txt")))
+        .otherwise(F.concat(inner, F.lit("/"), number.cast("string"), F.lit(".txt")))
+    )
+    return licences.scan_licences(docs.select("doc_id", "text", place.alias("path")))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
@@ -52,7 +103,10 @@ QUERIES: dict[str, Query] = {
     "op2_pseudonyms": op2_pseudonyms,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
+    "op5_fixity": op5_fixity,
     "op6_sharding": op6_sharding,
+    "op7_covertree": op7_covertree,
+    "op8_licences": op8_licences,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
