@@ -15,6 +15,7 @@ from agoralytics.llm import (
     packing,
     pseudonyms,
     quality,
+    repeats,
     sharding,
     simhash,
 )
@@ -94,6 +95,17 @@ def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(docs.select("doc_id", "text", place.alias("path")))
 
 
+def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    done = repeats.strip_repeats(table(spark, folder, "documents"))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
@@ -107,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": op6_sharding,
     "op7_covertree": op7_covertree,
     "op8_licences": op8_licences,
+    "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
