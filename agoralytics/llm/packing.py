@@ -28,40 +28,55 @@ Piece = tuple[int, int, int]  # length, document, first token
 class WordEncoder:
     """Ids of texts, as little-endian 32-bit bytes, remembering the ids of single words.
 
-    The vocabulary's pattern always starts a new piece at a single space between two other
-    characters, so a text may be encoded word by word, each with the space before it. A word
-    with white space at either end breaks this rule; a text that holds one is encoded whole.
+    The vocabulary's pattern starts a new piece at a single space between two other characters
+    and makes a single line break there a piece of its own. A text may therefore be encoded
+    word by word, each with the space or line break before it. Words with white space at
+    either end break this rule; a text that holds one is encoded whole.
     """
 
+    _BREAK = "\x00"  # stands for a line break in front of a word
+
     def __init__(self, path: str):
         import tokenizers
 
         self._tokenizer = tokenizers.Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes | None] = {}
+        self._newline = self._ids("\n")
+        self._known: dict[str, bytes] = {}  # no bytes: the word cannot stand alone
 
     def encode(self, text: str) -> bytes:
         if len(self._known) > CACHE_WORDS:
             self._known.clear()
-        known = self._known
-        first, *rest = text.split(" ")
-        if rest and (not first or first[-1].isspace()):
-            return self._whole(text)
-        if new := {w for w in rest if w not in known}:
-            self._learn(new)
-        parts = [known[w] for w in rest]
-        return self._whole(text) if None in parts else self._whole(first) + b"".join(parts)
-
-    def _whole(self, text: str) -> bytes:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        if self._BREAK in text:
+            return self._ids(text).tobytes()
+        words = f"\n{text}".replace("\n", f" {self._BREAK}").split(" ")[1:]
+        parts = list(map(self._known.get, words))
+        if None in parts:
+            self._learn({w for w, p in zip(words, parts, strict=True) if p is None})
+            parts = list(map(self._known.get, words))
+        if b"" in parts:
+            return self._ids(text).tobytes()
+        return b"".join(parts)[self._newline.nbytes :]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, words: set[str]) -> None:
-        alone = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        self._known.update(dict.fromkeys(words.difference(alone)))
-        found = self._tokenizer.encode_batch([" " + w for w in alone], add_special_tokens=False)
-        for word, encoding in zip(alone, found, strict=True):
-            self._known[word] = np.asarray(encoding.ids, dtype="<u4").tobytes()
+        """Encode many words at once, a line each; the line break is one id, which no word holds."""
+        self._known.update(dict.fromkeys(words, b""))
+        plain = {w: w.removeprefix(self._BREAK) for w in words}
+        alone = [w for w, p in plain.items() if p and not p[0].isspace() and not p[-1].isspace()]
+        if len(self._newline) != 1:
+            return
+        for space, own in ((" ", [w for w in alone if plain[w] == w]), ("", [w for w in alone if plain[w] != w])):
+            if own:
+                ids = self._ids("\n".join(space + plain[w] for w in own))
+                ends = np.append(np.flatnonzero(ids == self._newline[0]), len(ids)).tolist()
+                raw, start = ids.tobytes(), 0
+                before = b"" if space else self._newline.tobytes()
+                for word, end in zip(own, ends, strict=True):
+                    self._known[word] = before + raw[4 * start : 4 * end]
+                    start = end + 1
 
 
 def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[Piece]]]:
