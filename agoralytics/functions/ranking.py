@@ -89,27 +89,19 @@ def with_running_total(
     )
     # one row per partition of the sort: bounded by the shuffle width
     parts = staged(parts, f"{label}-parts")
-    later = parts.select(
-        F.col(_PART).alias("_later"), F.col("_head").alias("_tail"), F.col("_head_sum").alias("_more")
-    )
-    spill = (
-        parts.join(later, "_tail")
-        .filter(F.col("_later") > F.col(_PART))
-        .groupBy(_PART)
-        .agg(F.sum("_more").alias("_spill"))
-    )
-    everything = Window.orderBy(_PART).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.join(spill, _PART, "left").select(
+    in_turn = Window.orderBy(_PART)
+    everything = in_turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = in_turn.rowsBetween(Window.unboundedPreceding, -1)
+    # What a value has from a partition on: its partitions follow each other.
+    onward = F.sum("_head_sum").over(Window.partitionBy("_head").orderBy(F.desc(_PART)))
+    starts = parts.withColumn("_onward", onward).select(
         _PART,
         "_tail",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
         F.sum("_rows").over(everything).alias(total),
         F.sum("_sum").over(earlier).alias("_before"),
         F.sum("_sum").over(everything).alias(grand),
-        "_spill",
+        F.when(F.lead("_head").over(in_turn) == F.col("_tail"), F.lead("_onward").over(in_turn)).alias("_spill"),
     )
     zero = F.lit(0).cast(df.schema[amount].dataType)
     within = Window.partitionBy(_PART).orderBy(F.desc(by))

@@ -142,22 +142,23 @@ def contingency_table(
     row_order: Sequence[str] = STATUSES,
     col_values: Sequence[int] = SCORES,
 ) -> DataFrame:
-    """Rows in the given order, one column per value; a row without data is NULL throughout."""
-    counted = (
-        frame.groupBy(rows)
-        .pivot(cols, list(col_values))
-        .agg(F.count(F.lit(1)))
-        .na.fill(0)
-        .withColumnsRenamed({str(v): f"score_{v}" for v in col_values})
+    """Rows in the given order, one column per value and one for all other values.
+
+    A missing value is not counted; a row without data is NULL throughout.
+    """
+    value = F.col(cols)
+    counted = frame.groupBy(rows).agg(
+        *(F.count_if(value == v).alias(f"score_{v}") for v in col_values),
+        F.count_if(~value.isin(*col_values)).alias("score_other"),
     )
     listed = label_rows(frame.sparkSession, rows, row_order)
     return listed.join(counted, rows, "left").orderBy("place").drop("place")
 
 
 def review_share_by_status(frame: DataFrame) -> DataFrame:
-    """Row percentages of the contingency table."""
+    """Row percentages of the contingency table, all values in the denominator."""
     table = contingency_table(frame)
-    names = [f"score_{v}" for v in SCORES]
+    names = [f"score_{v}" for v in (*SCORES, "other")]
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     return table.select(
         "delivery_status",

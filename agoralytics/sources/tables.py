@@ -12,15 +12,9 @@ from pyspark.sql import types as T
 
 from agoralytics.plans.staging import staged
 from agoralytics.schemas import TABLES, TableSpec
-from agoralytics.sources.records import csv_records, largest_file
 
 REJECTED = "_rejected_line"
 
-# About ten seconds of one task. Finding the records of a larger file first costs
-# several times the work, but spreads it over the cluster.
-SPLIT_ABOVE = 1 << 30
-
-
 # Header skipped, comma separated, quotes doubled inside quoted cells; an empty
 # cell is NULL, an unreadable one is NULL and marks its row.
 _DIALECT = {
@@ -31,27 +25,14 @@ _DIALECT = {
 }
 
 
-def _csv(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType,
-    multiline: bool,
-    split_above: int,
-) -> DataFrame:
-    """Rows of a CSV file or folder; large files are split over tasks.
+def _csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool) -> DataFrame:
+    """Rows of a CSV file or folder, by one rule at every size.
 
-    Line mode splits by itself. Where quoted cells may hold line breaks, a file
-    is one task of the multi-line reader, unless a file has more than
-    ``split_above`` bytes; then the records are found first.
+    Line mode splits files over tasks. Where quoted cells may hold line breaks, a file is one
+    task of the multi-line reader; deliver such tables as many files.
     """
-    reader = spark.read.schema(schema).options(header=True, **_DIALECT)
-    if not multiline:
-        return reader.csv(path)
-    if largest_file(spark, path) <= split_above:
-        return reader.option("multiLine", True).csv(path)
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    row = F.from_csv("value", columns, _DIALECT)
-    return csv_records(spark, path).select(row.alias("row")).select("row.*")
+    reader = spark.read.schema(schema).options(header=True, multiLine=multiline, **_DIALECT)
+    return reader.csv(path)
 
 
 def line_ending_cleanup(df: DataFrame) -> DataFrame:
@@ -77,12 +58,10 @@ def _clean(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.withColumns({name: F.lower(F.trim(name)) for name in spec.normalised})
 
 
-def read_table(
-    spark: SparkSession, name: str, path: str, split_above: int = SPLIT_ABOVE
-) -> DataFrame:
+def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """One table from a CSV file or a folder of them. An unreadable cell is NULL."""
     spec = TABLES[name]
-    return _clean(_csv(spark, path, spec.schema, spec.multiline, split_above), spec)
+    return _clean(_csv(spark, path, spec.schema, spec.multiline), spec)
 
 
 def read_customers(spark: SparkSession, path: str) -> DataFrame:
@@ -109,11 +88,9 @@ def read_order_payments(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, "order_payments", path)
 
 
-def read_order_reviews(
-    spark: SparkSession, path: str, split_above: int = SPLIT_ABOVE
-) -> DataFrame:
-    """Reviews hold quoted line breaks; see ``records`` for how large files are split."""
-    return read_table(spark, "order_reviews", path, split_above)
+def read_order_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Reviews hold quoted line breaks, so each file is read by one task."""
+    return read_table(spark, "order_reviews", path)
 
 
 def read_translation(spark: SparkSession, path: str) -> DataFrame:
@@ -125,15 +102,16 @@ def read_geolocation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rejected_rows(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType,
-    multiline: bool = False,
-    split_above: int = SPLIT_ABOVE,
+    spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False
 ) -> DataFrame:
-    """Rows with an unreadable cell or a wrong cell count: parsed columns plus the raw line."""
+    """Rows with an unreadable cell or a wrong cell count: parsed columns plus the raw line.
+
+    The rows can also be counted: the filter needs every parsed column, because the reader
+    refuses a scan of the raw line alone.
+    """
     noting = T.StructType([*schema.fields, T.StructField(REJECTED, T.StringType(), True)])
-    return _csv(spark, path, noting, multiline, split_above).filter(F.col(REJECTED).isNotNull())
+    cells = F.length(F.concat_ws("", *(F.col(f.name).cast("string") for f in schema.fields)))
+    return _csv(spark, path, noting, multiline).filter(F.col(REJECTED).isNotNull() & (cells >= 0))
 
 
 def first_of_each_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -837,8 +837,9 @@ EXPECTED: dict[str, tuple[str, ...]] = {
             f"{_per(f'COUNT(*) FILTER (WHERE review_score = {v})', 'COUNT(review_score)')} AS score_{v}_pct"
             for v in (1, 2, 3, 4, 5)
         )
+        + f", {_per('COUNT(*) FILTER (WHERE review_score NOT IN (1, 2, 3, 4, 5))', 'COUNT(review_score)')} AS score_other_pct"
         + " FROM x_status LEFT JOIN x_review USING (delivery_status) GROUP BY delivery_status",
-        "delivery_status:s " + " ".join(f"score_{v}_pct:f" for v in (1, 2, 3, 4, 5)),
+        "delivery_status:s " + " ".join(f"score_{v}_pct:f" for v in (1, 2, 3, 4, 5, "other")),
     ),
     "delay_score_correlation": (
         "SELECT COUNT(*) AS delayed_reviews, CORR(review_score, delay_days) AS correlation, "
@@ -860,8 +861,10 @@ EXPECTED: dict[str, tuple[str, ...]] = {
     ),
     "mann_whitney_u": (_U_TEST, "n1:i n2:i u_statistic:f z:f p_value:f"),
     "contingency_table": (
-        f"SELECT delivery_status, {_SCORE_COLUMNS} FROM x_review GROUP BY delivery_status",
-        "delivery_status:s " + " ".join(f"score_{v}:i" for v in (1, 2, 3, 4, 5)),
+        f"SELECT delivery_status, {_SCORE_COLUMNS}, "
+        "COUNT(*) FILTER (WHERE review_score NOT IN (1, 2, 3, 4, 5)) AS score_other "
+        "FROM x_review GROUP BY delivery_status",
+        "delivery_status:s " + " ".join(f"score_{v}:i" for v in (1, 2, 3, 4, 5, "other")),
     ),
     "chi_square_test": (_CHI_SQUARE, "n:i degrees_of_freedom:i chi_square:f p_value:f"),
     "significance_decision": (

@@ -179,3 +179,14 @@ def test_one_group_only(frame):
     row = h.welch_t_test(frame.filter("is_delayed")).first()
     assert row.t_statistic is None
     assert row.p_value is None or math.isnan(row.p_value)
+
+
+def test_scores_outside_the_scale_are_counted(spark):
+    frame = spark.createDataFrame(
+        [("Late", 0), ("Late", 6), ("Late", 1), ("Late", None), ("On Time", 5)],
+        "delivery_status string, review_score int",
+    )
+    counts = h.contingency_table(frame, row_order=("Late", "On Time")).collect()
+    assert [(r.score_1, r.score_other) for r in counts] == [(1, 2), (0, 0)]
+    shares = [r for r in h.review_share_by_status(frame).collect() if r.delivery_status == "Late"]
+    assert all(abs(sum(v for k, v in r.asDict().items() if k != "delivery_status") - 100) < 1e-9 for r in shares)

@@ -13,7 +13,6 @@ from agoralytics.plans import views
 from agoralytics.plans.staging import shared_folder, staged
 from agoralytics.schemas import ORDERS, TABLES
 from agoralytics.sources import sinks, tables
-from agoralytics.sources.records import csv_records, largest_file
 
 REVIEW_HEADER = ",".join(TABLES["order_reviews"].schema.names)
 ORDER_HEADER = ",".join(ORDERS.names)
@@ -208,40 +207,35 @@ def test_reviews_with_windows_line_ends_and_quoted_empty_cells(spark, tmp_path):
     assert row.review_answer_timestamp == dt.datetime(2018, 1, 18, 21, 46, 59)
 
 
-@pytest.fixture(scope="module")
-def review_files(tmp_path_factory):
-    """Three files with line breaks, quotes and empty lines inside quoted cells."""
-    rng = random.Random(7)
-    folder = tmp_path_factory.mktemp("reviews")
-    texts = ["", "plain", '"a\nb"', '"say ""hi""\n\n\nlong, text"', '"x,y"', '""""', '"\n"', '"ends\n"']
-    for part, (ending, encoding) in enumerate((("\n", "utf-8"), ("\r\n", "utf-8"), ("\n", "utf-8-sig"))):
-        rows = [
-            f"r{part}_{i},o{i},{rng.choice(['1', '5', '', 'bad'])},{rng.choice(texts)},{rng.choice(texts)},"
-            "2018-01-18 00:00:00,2018-01-18 21:46:59"
-            for i in range(150)
-        ]
-        text = "\n".join([REVIEW_HEADER, *rows, ""]).replace("\n", ending)
-        put(folder, text, f"part{part}.csv", encoding)
-    return str(folder)
-
-
-@pytest.mark.parametrize("block", [300, 1000])
-def test_large_review_files_are_split_without_breaking_records(spark, review_files, block):
-    schema = TABLES["order_reviews"].schema
-    whole = tables.read_order_reviews(spark, review_files).collect()
-    rejected = tables.rejected_rows(spark, review_files, schema, multiline=True).collect()
-    assert len(whole) == 450 and len(rejected) > 50
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    cost = spark.conf.get("spark.sql.files.openCostInBytes")
-    limit = largest_file(spark, review_files) - 1
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
-        spark.conf.set("spark.sql.files.openCostInBytes", "1")
-        assert csv_records(spark, review_files).count() == 450
-        split = tables.read_order_reviews(spark, review_files, limit)
-        assert sorted(split.collect(), key=str) == sorted(whole, key=str)
-        again = tables.rejected_rows(spark, review_files, schema, True, limit).collect()
-        assert sorted(r.review_id for r in again) == sorted(r.review_id for r in rejected)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+DATES = ",2018-01-18 00:00:00,2018-01-18 21:46:59"
+PLAIN = f"r2,o2,4,b,y{DATES}\n"
+REVIEW_FILES = {
+    "bare quote": f'r1,o1,5,a 5" screen,x{DATES}\n{PLAIN}r3,o3,3,c,z{DATES}\n',
+    "blank lines in quotes": f'r1,o1,5,"a\n\n\nb",x{DATES}\n{PLAIN}r3,o3,3,c,z{DATES}\n',
+    "doubled quotes": f'r1,o1,5,"say ""hi""",x{DATES}\n{PLAIN}r3,o3,3,c,z{DATES}\n',
+    "short row": f"r1,o1\n{PLAIN}r3,o3,3,c,z{DATES}\n",
+    "unreadable score": f"r1,o1,bad,a,x{DATES}\n{PLAIN}r3,o3,3,c,z{DATES}\n",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(REVIEW_FILES))
+def test_review_files_are_read_by_one_rule_whatever_their_size(spark, tmp_path, kind):
+    """A record is read alike alone and behind as many others as fill a larger file."""
+    small = put(tmp_path, f"{REVIEW_HEADER}\n{REVIEW_FILES[kind]}", "small.csv")
+    filler = "".join(f"f{i},o,1,t,m{DATES}\n" for i in range(20_000))
+    large = put(tmp_path, f"{REVIEW_HEADER}\n{filler}{REVIEW_FILES[kind]}", "large.csv")
+    alone = tables.read_order_reviews(spark, small)
+    behind = tables.read_order_reviews(spark, large).where("review_id NOT LIKE 'f%'")
+    assert alone.count() == 3
+    assert sorted(behind.collect(), key=str) == sorted(alone.collect(), key=str)
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+def test_rejected_rows_can_be_counted(spark, tmp_path, multiline):
+    rows = "r1,o1,bad,,,2018-01-18 00:00:00,\nr2,o2,5,,,2018-01-18 00:00:00,\nr3,o3,worse,,,,\n"
+    path = put(tmp_path, f"{REVIEW_HEADER}\n{rows}", "bad.csv")
+    rejected = tables.rejected_rows(spark, path, TABLES["order_reviews"].schema, multiline)
+    assert rejected.count() == 2
+    assert sorted(r.review_id for r in rejected.collect()) == ["r1", "r3"]
+
+
