@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,20 @@ LEAF_PAIRS = 1 << 18  # pairs of vectors that are compared at once
 SLACK = 1e-9  # distances carry rounding; pairs this near a bound are compared
 
 
+@dataclass
+class Level:
+    """Nodes of a tree that share a radius: their centres, covering radii and rows."""
+
+    centres: np.ndarray
+    cover: np.ndarray
+    members: list[np.ndarray]
+    radius: float
+    below: dict[int, Level] = field(default_factory=dict)  # levels under the nodes opened so far
+
+    def sizes(self) -> np.ndarray:
+        return np.fromiter(map(len, self.members), dtype=np.int64, count=len(self.members))
+
+
 class CoverTree:
     """Nested levels of centres with halving radii over unit vectors.
 
@@ -35,7 +50,7 @@ class CoverTree:
         self.x = x
         self.top = self._level(np.arange(len(x)), 1.0)
 
-    def _level(self, rows: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], float]:
+    def _level(self, rows: np.ndarray, radius: float) -> Level:
         """Centres among ``rows``, their covering radii and members, and the level's radius.
 
         Blocks of rows are compared with the centres so far; in each block, rows that no centre
@@ -68,10 +83,13 @@ class CoverTree:
         members = [rows[order[a:b]] for a, b in zip(edges[:-1], edges[1:], strict=True)]
         cover = np.zeros(len(centres))
         np.maximum.at(cover, owner, away)
-        return centres, cover, members, radius
+        return Level(centres, cover, members, radius)
 
-    def children(self, rows: np.ndarray, radius: float):
-        return self._level(rows, radius / 2)
+    def children(self, level: Level, node: int) -> Level:
+        """The level under a node, built when the node is first opened."""
+        if node not in level.below:
+            level.below[node] = self._level(level.members[node], level.radius / 2)
+        return level.below[node]
 
 
 def distance(cosine: np.ndarray) -> np.ndarray:
@@ -96,10 +114,10 @@ class Links:
             hit = self.a[rows] @ self.b[j].T >= self.cosine
             if self.same:
                 hit &= rows[:, None] != j[None, :]
-            self.count[0][rows] += hit @ self.weight[1][j]
-            if not self.same:
-                self.count[1][j] += self.weight[0][rows] @ hit
             p, q = np.nonzero(hit)
+            np.add.at(self.count[0], rows[p], self.weight[1][j[q]])
+            if not self.same:
+                np.add.at(self.count[1], j[q], self.weight[0][rows[p]])
             self.forest.link(rows[p], j[q] + (0 if self.same else len(self.a)))
 
 
@@ -108,7 +126,8 @@ def traverse(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarray
 
     A pair of nodes whose centres are farther apart than both covering radii and the threshold
     allow holds no link and is not opened. Open pairs descend to the children of both nodes
-    until few enough pairs of vectors are left to be compared.
+    until few enough pairs of vectors are left to be compared; the vectors of one node are
+    compared at once with those of all such nodes beside it.
     """
     same = y is None
     links = Links(x, x if same else y, wx, wx if same else wy, same, cosine)
@@ -116,24 +135,24 @@ def traverse(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarray
     left = CoverTree(x)
     right = left if same else CoverTree(y)
 
-    def open_pairs(p, q) -> Iterator[tuple[int, int]]:
-        for k in range(0, len(p[0]), 1024):
-            d = distance(left.x[p[0][k : k + 1024]] @ right.x[q[0]].T)
-            i, j = np.nonzero(d <= limit + p[1][k : k + 1024, None] + q[1][None, :])
-            yield from zip((i + k).tolist(), j.tolist(), strict=True)
+    def open_nodes(p: Level, q: Level) -> Iterator[tuple[int, np.ndarray]]:
+        for k in range(0, len(p.centres), 256):
+            d = distance(left.x[p.centres[k : k + 256]] @ right.x[q.centres].T)
+            near = d <= limit + p.cover[k : k + 256, None] + q.cover[None, :]
+            for i in np.flatnonzero(near.any(axis=1)):
+                yield k + int(i), np.flatnonzero(near[i])
 
     stack = [(left.top, right.top)]
     while stack:
         p, q = stack.pop()
-        for i, j in open_pairs(p, q):
-            a, b = p[2][i], q[2][j]
-            if same and len(a) == len(b) == 1 and a[0] == b[0]:
-                continue
-            if len(a) * len(b) <= LEAF_PAIRS or p[3] < 1e-3:
-                links.compare(a, b)
-            else:
-                below = left.children(a, p[3])
-                stack.append((below, below if same and i == j and p is q else right.children(b, q[3])))
+        sizes = q.sizes()
+        for i, near in open_nodes(p, q):
+            a = p.members[i]
+            small = (len(a) * sizes[near] <= LEAF_PAIRS) | (p.radius < 1e-3)
+            if small.any():
+                links.compare(a, np.concatenate([q.members[j] for j in near[small]]))
+            for j in near[~small].tolist():
+                stack.append((left.children(p, i), right.children(q, j)))
     return links
 
 
