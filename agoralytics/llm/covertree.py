@@ -21,12 +21,14 @@ CELL_ROWS = 12_000  # vectors that a cell should be home to
 CELLS = 256  # at most; beyond, cells are larger and have more parts
 PART_ROWS = 6_000  # vectors of a cell that travel together
 LEAF_PAIRS = 1 << 18  # pairs of vectors that are compared at once
-SLACK = 1e-9  # distances carry rounding; pairs this near a bound are compared
+TOP_RADIUS = 0.5  # of a part's first level; wider ones are the cells
+SLACK = 1e-7  # distances carry rounding; cells this near a bound meet
+ROUNDING = 2.0**-24  # of a number in single precision, relative
 
 
 @dataclass
 class Level:
-    """Nodes of a tree that share a radius: their centres, covering radii and rows."""
+    """Nodes of a tree that share a radius: their centres, covering radii and rows, by covering radius."""
 
     centres: np.ndarray
     cover: np.ndarray
@@ -34,61 +36,74 @@ class Level:
     radius: float
     below: dict[int, Level] = field(default_factory=dict)  # levels under the nodes opened so far
 
-    def sizes(self) -> np.ndarray:
-        return np.fromiter(map(len, self.members), dtype=np.int64, count=len(self.members))
+    def __post_init__(self):
+        self.sizes = np.fromiter(map(len, self.members), dtype=np.int64, count=len(self.members))
+
+    @staticmethod
+    def of(rows: np.ndarray, centre: np.ndarray, away: np.ndarray, radius: float) -> Level:
+        """The level in which each of ``rows`` lies ``away`` from its ``centre``, which is one of them."""
+        centres, owner = np.unique(centre, return_inverse=True)
+        cover = np.zeros(len(centres))
+        np.maximum.at(cover, owner, np.where(rows == centre, 0.0, away))
+        by_cover = np.argsort(cover, kind="stable")
+        place = np.empty(len(centres), dtype=int)
+        place[by_cover] = np.arange(len(centres))
+        order = np.argsort(place[owner], kind="stable")
+        edges = np.searchsorted(place[owner][order], np.arange(len(centres) + 1))
+        members = [rows[order[a:b]] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return Level(centres[by_cover], cover[by_cover], members, radius)
 
 
 class CoverTree:
     """Nested levels of centres with halving radii over unit vectors.
 
     Every vector lies within a level's radius of its centre there, and centres of a level are
-    farther apart than its radius. A node also keeps the distance of its farthest vector, the
-    covering radius that prunes. Nodes stop at one vector or where few vectors remain.
+    farther apart than its radius, both in single precision. A node also keeps the distance of its
+    farthest vector in double precision, the covering radius that prunes. The ``top`` level is
+    found once for a part and given to each tree of it.
     """
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
-        self.top = self._level(np.arange(len(x)), 1.0)
+    def __init__(self, x: np.ndarray, top: Level | None):
+        self.x, self.low, self.top = x, x.astype(np.float32), top
 
-    def _level(self, rows: np.ndarray, radius: float) -> Level:
-        """Centres among ``rows``, their covering radii and members, and the level's radius.
+    def centres(self, rows: np.ndarray, radius: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``rows`` its centre among them and how far it is away.
 
         Blocks of rows are compared with the centres so far; in each block, rows that no centre
         covers become centres one after the other.
         """
         centres = np.empty(0, dtype=int)
         owner = np.empty(len(rows), dtype=int)
-        away = np.empty(len(rows))
-        block = 512
+        least = 1 - radius * radius / 2  # cosine at the radius
         for k in range(0, len(rows), block):
-            part = self.x[rows[k : k + block]]
-            nearest = np.full(len(part), np.inf)
+            part = self.low[rows[k : k + block]]
+            best = np.full(len(part), -np.inf, dtype=np.float32)
             own = np.full(len(part), -1)
             for c in range(0, len(centres), 8192):
-                d = distance(part @ self.x[centres[c : c + 8192]].T)
-                j = d.argmin(axis=1)
-                better = d[np.arange(len(part)), j]
-                own = np.where(better < nearest, c + j, own)
-                nearest = np.minimum(nearest, better)
-            for i in np.flatnonzero(nearest > radius):
-                if nearest[i] <= radius:
+                cosines = part @ self.low[centres[c : c + 8192]].T
+                j = cosines.argmax(axis=1)
+                found = cosines[np.arange(len(part)), j]
+                own = np.where(found > best, c + j, own)
+                best = np.maximum(best, found)
+            among = part @ part.T
+            fresh = []
+            for i in np.flatnonzero(best < least).tolist():
+                if best[i] >= least:
                     continue
-                d = distance(part @ part[i])
-                closer = d < nearest
-                own[closer], nearest[closer] = len(centres), d[closer]
-                centres = np.append(centres, rows[k + i])
-            owner[k : k + block], away[k : k + block] = own, nearest
-        order = np.argsort(owner, kind="stable")
-        edges = np.searchsorted(owner[order], np.arange(len(centres) + 1))
-        members = [rows[order[a:b]] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        cover = np.zeros(len(centres))
-        np.maximum.at(cover, owner, away)
-        return Level(centres, cover, members, radius)
+                closer = among[i] > best
+                closer[i] = True
+                own[closer], best[closer] = len(centres) + len(fresh), among[i][closer]
+                fresh.append(rows[k + i])
+            centres = np.concatenate((centres, np.array(fresh, dtype=int)))
+            owner[k : k + block] = own
+        centre = centres[owner]
+        return centre, distance(np.einsum("ij,ij->i", self.x[rows], self.x[centre]))
 
     def children(self, level: Level, node: int) -> Level:
         """The level under a node, built when the node is first opened."""
         if node not in level.below:
-            level.below[node] = self._level(level.members[node], level.radius / 2)
+            rows, radius = level.members[node], level.radius / 2
+            level.below[node] = Level.of(rows, *self.centres(rows, radius), radius)
         return level.below[node]
 
 
@@ -121,34 +136,52 @@ class Links:
             self.forest.link(rows[p], j[q] + (0 if self.same else len(self.a)))
 
 
-def traverse(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarray | None, cosine: float) -> Links:
-    """All links between unit vectors ``x`` and ``y``, or among ``x``, by descending both trees.
+def open_nodes(left: CoverTree, p: Level, right: CoverTree, q: Level, limit: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Nodes of ``p``, each with the nodes of ``q`` that its covering radii and ``limit`` leave open.
+
+    Nodes of ``q`` stand by covering radius, so a few ranges of them share a bound, which one
+    comparison of cosines applies to a whole range; what it leaves open is held to its own bound.
+    """
+    slack = ROUNDING * (left.x.shape[1] + 8)
+    ranges = np.unique(np.searchsorted(q.cover, (0.0, q.radius / 4, q.radius / 2, math.inf), side="right"))
+    ranges = np.append(0, ranges[ranges > 0])
+
+    def least(reach: np.ndarray) -> np.ndarray:
+        return (1 - np.minimum(reach, 2.0) ** 2 / 2 - slack).astype(np.float32)
+
+    for k in range(0, len(p.centres), 256):
+        cosines = left.low[p.centres[k : k + 256]] @ right.low[q.centres].T
+        cover = limit + p.cover[k : k + 256]
+        found = []
+        for a, b in zip(ranges[:-1], ranges[1:], strict=True):
+            i, j = np.nonzero(cosines[:, a:b] >= least(cover + q.cover[b - 1])[:, None])
+            near = cosines[i, a + j] >= least(cover[i] + q.cover[a + j])
+            found.append((i[near], a + j[near]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(i, kind="stable")
+        nodes, starts = np.unique(i[order], return_index=True)
+        edges = np.append(starts, len(order))
+        for node, a, b in zip(nodes.tolist(), edges[:-1], edges[1:], strict=True):
+            yield k + node, j[order[a:b]]
+
+
+def traverse(left: CoverTree, right: CoverTree, wx: np.ndarray, wy: np.ndarray, cosine: float) -> Links:
+    """All links between the vectors of two trees, or among those of one, by descending both.
 
     A pair of nodes whose centres are farther apart than both covering radii and the threshold
     allow holds no link and is not opened. Open pairs descend to the children of both nodes
     until few enough pairs of vectors are left to be compared; the vectors of one node are
-    compared at once with those of all such nodes beside it.
+    compared at once with those of all such nodes beside it, in double precision. Bounds are
+    compared in single precision, less what it can lose.
     """
-    same = y is None
-    links = Links(x, x if same else y, wx, wx if same else wy, same, cosine)
-    limit = math.sqrt(2 - 2 * cosine) + SLACK
-    left = CoverTree(x)
-    right = left if same else CoverTree(y)
-
-    def open_nodes(p: Level, q: Level) -> Iterator[tuple[int, np.ndarray]]:
-        for k in range(0, len(p.centres), 256):
-            d = distance(left.x[p.centres[k : k + 256]] @ right.x[q.centres].T)
-            near = d <= limit + p.cover[k : k + 256, None] + q.cover[None, :]
-            for i in np.flatnonzero(near.any(axis=1)):
-                yield k + int(i), np.flatnonzero(near[i])
-
+    links = Links(left.x, right.x, wx, wy, left is right, cosine)
+    limit = math.sqrt(2 - 2 * cosine)
     stack = [(left.top, right.top)]
     while stack:
         p, q = stack.pop()
-        sizes = q.sizes()
-        for i, near in open_nodes(p, q):
+        for i, near in open_nodes(left, p, right, q, limit):
             a = p.members[i]
-            small = (len(a) * sizes[near] <= LEAF_PAIRS) | (p.radius < 1e-3)
+            small = (len(a) * q.sizes[near] <= LEAF_PAIRS) | (p.radius < 1e-3)
             if small.any():
                 links.compare(a, np.concatenate([q.members[j] for j in near[small]]))
             for j in near[~small].tolist():
@@ -171,6 +204,20 @@ def _read(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.float64).reshape(len(table), -1)
 
 
+def first_centres(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre of each vector in a tree's top level, and how far it is away."""
+    return CoverTree(x, None).centres(np.arange(len(x)), TOP_RADIUS)
+
+
+def _tree(table: pa.Table) -> tuple[CoverTree, np.ndarray, np.ndarray]:
+    """The tree of a part whose top level is known, its weights and its nodes."""
+    x, node = _read(table), table.column("node").to_numpy()
+    order = np.argsort(node)
+    centre = order[np.searchsorted(node[order], table.column("centre").to_numpy())]
+    top = Level.of(np.arange(len(x)), centre, table.column("off").to_numpy(), TOP_RADIUS)
+    return CoverTree(x, top), table.column("weight").to_numpy(), node
+
+
 def embedding_links(
     vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -186,8 +233,8 @@ def embedding_links(
 
     Equal directions become one row with a weight. Cells around centres chosen from a bounded
     sample are the tree's upper level: pairs of cells whose bounds exclude a link never meet.
-    Cells are dealt in parts of about ``PART_ROWS``, each pair of parts that may hold links is one
-    group, and descends its own trees. A group returns one count and at most one link per vector.
+    Cells are dealt in parts of about ``PART_ROWS``, whose first tree level is found once; each pair
+    of parts that may hold links is one group, and descends the trees of both. A group returns one count and at most one link per vector.
     """
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,38 +297,53 @@ def _links_of_cells(distinct: DataFrame, cosine: float) -> DataFrame:
     sizes = homes.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("cover"))
     cells = [(r.dim, r.cell, -(-r.n // PART_ROWS), r.cover) for r in sizes.orderBy("dim", "cell").collect()]
     spark = distinct.sparkSession
+
+    def top_level(table: pa.Table) -> pa.Table:
+        x, node = _read(table), table.column("node").to_numpy()
+        centre, off = first_centres(x)
+        return table.append_column("centre", pa.array(node[centre])).append_column("off", pa.array(off))
+
+    parts = spark.createDataFrame([c[:3] for c in cells], "dim int, cell int, parts int")
+    in_parts = homes.join(parts, ["dim", "cell"]).select(
+        "dim", "cell", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "weight", "v"
+    )
+    tops = staged(
+        in_parts.groupBy("dim", "cell", "part").applyInArrow(
+            top_level, "dim int, cell int, part int, node bigint, weight bigint, v binary, centre bigint, off double"
+        ),
+        "cover-trees",
+    )
     meets = []
     for k, (dim, c, of_c, cover) in enumerate(cells):
         for other, d, of_d, reach in cells[k:]:
             apart = distance(centres[dim][c] @ centres[other][d]) if other == dim else math.inf
             if apart <= limit + cover + reach:
-                meets.append((dim, c, c, d, of_c, of_d, False))
+                meets.append((dim, c, c, d, of_d, False))
                 if c != d:
-                    meets.append((dim, d, c, d, of_d, of_c, True))
+                    meets.append((dim, d, c, d, of_c, True))
     plan = spark.createDataFrame(
-        meets, "dim int, cell int, c int, d int, own_parts int, other_parts int, second boolean"
+        meets, "dim int, cell int, c int, d int, other_parts int, second boolean"
     )
     part, other = F.col("part"), F.col("other_part")
     first = F.when(F.col("c") == F.col("d"), F.least(part, other)).when(F.col("second"), other).otherwise(part)
     last = F.when(F.col("c") == F.col("d"), F.greatest(part, other)).when(F.col("second"), part).otherwise(other)
     second = F.when(F.col("c") == F.col("d"), part > other).otherwise(F.col("second"))
     dealt = (
-        homes.join(plan, ["dim", "cell"])
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("own_parts")).cast("int"))
+        tops.join(plan, ["dim", "cell"])
         .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-        .select("dim", "c", "d", first.alias("p"), last.alias("q"), second.alias("second"), "node", "weight", "v")
+        .select("dim", "c", "d", first.alias("p"), last.alias("q"), second.alias("second"), "node", "weight", "v", "centre", "off")
     )
 
     def links(table: pa.Table) -> pa.Table:
         second = table.column("second").to_numpy().astype(bool)
-        node, weight, v = table.column("node").to_numpy(), table.column("weight").to_numpy(), _read(table)
         one = {n: table.column(n)[0].as_py() for n in ("c", "d", "p", "q")}
         if (one["c"], one["p"]) != (one["d"], one["q"]):
-            got = traverse(v[~second], v[second], weight[~second], weight[second], cosine)
-            node = np.concatenate((node[~second], node[second]))
-            count = np.concatenate(got.count)
+            (left, wx, a), (right, wy, b) = (_tree(table.filter(pa.array(side))) for side in (~second, second))
+            got = traverse(left, right, wx, wy, cosine)
+            node, count = np.concatenate((a, b)), np.concatenate(got.count)
         else:
-            got = traverse(v, None, weight, None, cosine)
+            tree, weight, node = _tree(table)
+            got = traverse(tree, tree, weight, weight, cosine)
             count = got.count[0]
         roots = got.forest.roots(np.arange(len(node)))
         hit, moved = np.flatnonzero(count), np.flatnonzero(roots != np.arange(len(node)))
