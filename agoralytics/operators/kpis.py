@@ -49,36 +49,48 @@ def business_summary(
 ) -> DataFrame:
     """One row of totals over delivered orders that have items and a customer.
 
-    The distinct counts expand the joined rows and drop repeats before the
-    shuffle, so a huge order, buyer or seller is reduced where it is read; the
-    join partition of a huge order is split at run time.
+    Items become one row per order before the join, so a huge order is reduced where it is
+    read. What follows keeps the partitioning by order: an order counts once even where its
+    customer is listed twice, and buyers are summed before they are counted. Sellers need only
+    the distinct pairs of order and seller.
     """
     require_money(order_items, "price", "freight_value")
     price, freight = cents("price"), cents("freight_value")
-    sold = (
+    per_order = order_items.groupBy("order_id").agg(
+        F.sum(price).alias("price"),
+        F.sum(freight).alias("freight"),
+        F.sum(price + freight).alias("revenue"),
+        F.count("order_item_id").alias("units"),
+    )
+    bought = (
         with_status(orders, status)
         .select("order_id", "customer_id")
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
-        .join(
-            order_items.select(
-                "order_id",
-                "order_item_id",
-                "seller_id",
-                price.alias("price"),
-                freight.alias("freight"),
-            ),
-            "order_id",
-        )
+        .select("order_id", "customer_unique_id")
     )
-    totals = sold.agg(
-        F.count_distinct("order_id").alias("total_delivered_orders"),
-        F.count_distinct("customer_unique_id").alias("total_unique_buyers"),
-        F.count_distinct("seller_id").alias("active_sellers"),
-        F.sum("price").alias("price"),
-        F.sum("freight").alias("freight"),
-        F.sum(F.col("price") + F.col("freight")).alias("revenue"),
-        F.count("order_item_id").alias("units"),
+    measures = ("price", "freight", "revenue", "units")
+    sums = [F.sum(m).alias(m) for m in measures]
+    pairs = bought.join(per_order, "order_id").groupBy("order_id", "customer_unique_id").agg(*sums)
+    first = F.row_number().over(Window.partitionBy("order_id").orderBy("customer_unique_id")) == 1
+    buyers = (
+        pairs.withColumn("first", flag(first))
+        .groupBy("customer_unique_id")
+        .agg(F.sum("first").alias("orders"), *sums)
+    )
+    sellers = (
+        order_items.select("order_id", "seller_id")
+        .distinct()
+        .join(bought.select("order_id"), "order_id", "left_semi")
+        .select("seller_id")
+        .distinct()
+        .agg(F.count("seller_id"))
     )
+    totals = buyers.agg(
+        F.coalesce(F.sum("orders"), F.lit(0)).alias("total_delivered_orders"),
+        F.count("customer_unique_id").alias("total_unique_buyers"),
+        *(F.sum(m).alias(m) for m in measures[:-1]),
+        F.coalesce(F.sum("units"), F.lit(0)).alias("units"),
+    ).withColumn("active_sellers", sellers.scalar())
     n = F.col("total_delivered_orders")
     gmv = money(F.col("price"))
     return totals.select(
