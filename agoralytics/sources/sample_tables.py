@@ -20,7 +20,6 @@ class DerivedTable:
     # (table, base column, its column): inner equality joins
     joins: tuple[tuple[str, str, str], ...]
     columns: tuple[tuple[str, str], ...]
-    where: str | None = None
     distinct: bool = False
 
 
@@ -130,18 +129,21 @@ DERIVED: dict[str, DerivedTable] = {
             ("order_id", "event_id - event_id % 2"),
             ("review_score", "1 + CAST(FLOOR(value) AS INT) % 5"),
             ("review_comment_title", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END"),
-            ("review_comment_message", "CONCAT(event_type, ', ', CHR(10), props)"),
+            ("review_comment_message", "event_type || ', ' || CHR(10) || props"),
             ("review_creation_date", "ts"),
             ("review_answer_timestamp", f"ts + {_days('event_id % 4')}"),
         ),
-        where="event_type <> 'error'",
     ),
     "products": DerivedTable(
         "part",
         (),
         (
             ("product_id", "p_partkey"),
-            ("product_category_name", "CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_type END"),
+            (
+                "product_category_name",
+                "CASE WHEN p_partkey % 17 = 0 THEN NULL "
+                "WHEN p_partkey % 19 = 0 THEN p_type || ' NEW' ELSE p_type END",
+            ),
             ("product_name_lenght", "CAST(LENGTH(p_name) AS INT)"),
             (
                 "product_description_lenght",
@@ -171,7 +173,6 @@ DERIVED: dict[str, DerivedTable] = {
             ("product_category_name", "p_type"),
             ("product_category_name_english", "LOWER(p_type)"),
         ),
-        where="p_type IN ('ECONOMY', 'STANDARD', 'LARGE', 'PROMO')",
         distinct=True,
     ),
     "geolocation": DerivedTable(
@@ -206,8 +207,6 @@ class SampleTables(Mapping):
         df = self._read(spec.base)
         for other, left, right in spec.joins:
             df = df.join(self._read(other), F.col(left) == F.col(right))
-        if spec.where:
-            df = df.filter(spec.where)
         df = df.selectExpr(*(f"{expr} AS {column}" for column, expr in spec.columns))
         return df.distinct() if spec.distinct else df
 

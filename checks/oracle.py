@@ -21,8 +21,7 @@ def _table_sql(name: str) -> str:
     spec = DERIVED[name]
     columns = ", ".join(f"{expr} AS {column}" for column, expr in spec.columns)
     source = spec.base + "".join(f" JOIN {t} ON {l} = {r}" for t, l, r in spec.joins)
-    where = f" WHERE {spec.where}" if spec.where else ""
-    return f"SELECT {'DISTINCT ' if spec.distinct else ''}{columns} FROM {source}{where}"
+    return f"SELECT {'DISTINCT ' if spec.distinct else ''}{columns} FROM {source}"
 
 
 def _output(item: str) -> str:
@@ -95,15 +94,22 @@ def _label(rules: list[tuple[str, str]]) -> str:
     return f"CASE {arms} ELSE 'Standard One-Time Buyers' END"
 
 
+# The segment rules in the order in which they apply.
 _SEVEN = [
-    ("f_score = 4 AND r_score > 2 AND m_score > 2", "Champions"),
-    ("f_score = 4 AND r_score > 2", "Loyal Customers"),
+    ("f_score = 4 AND r_score >= 3 AND m_score >= 3", "Champions"),
+    ("f_score = 4 AND r_score >= 3", "Loyal Customers"),
     ("f_score = 4 AND r_score = 2", "Needs Attention (Repeat)"),
     ("f_score = 4 AND r_score = 1", "Cant Lose Them (At Risk)"),
-    ("f_score = 1 AND r_score > 2 AND m_score > 2", "Promising High-Spenders"),
-    ("r_score + m_score = 2", "Lost / Churned"),
+    ("f_score = 1 AND r_score >= 3 AND m_score >= 3", "Promising High-Spenders"),
+    ("r_score = 1 AND m_score = 1", "Lost / Churned"),
+]
+_SIX = [
+    ("f_score = 4 AND r_score >= 3 AND m_score >= 3", "Champions"),
+    ("f_score = 4 AND r_score >= 3", "Loyal Customers"),
+    ("f_score = 1 AND r_score >= 3 AND m_score >= 3", "Promising High-Spenders"),
+    ("f_score = 4 AND r_score = 1", "Cant Lose Them (At Risk)"),
+    ("r_score = 1 AND m_score = 1", "Lost / Churned"),
 ]
-_SIX = [_SEVEN[i] for i in (0, 1, 4, 3, 5)]
 _CODE = "CAST(100 * r_score + 10 * f_score + m_score AS VARCHAR)"
 
 
