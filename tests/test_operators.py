@@ -112,6 +112,17 @@ def test_summary_leaves_out_orders_without_items(spark, months):
     assert row.avg_order_value == Decimal("70.00") and row.avg_items_per_order == Decimal("1.25")
 
 
+def test_summary_counts_an_order_once_where_its_customer_repeats(spark):
+    orders = orders_of(spark, ("o1", "c1", "delivered", "2017-01-01 00:00:00", None, None))
+    customers = customers_of(spark, ("c1", "u1", "SP"), ("c1", "u2", "SP"))
+    items = items_of(spark, ("o1", "p1", "s1", "10.00", "2.00"), ("o2", "p1", "s2", "10.00", "2.00"))
+    row = kpis.business_summary(orders, customers, items).first()
+    assert (row.total_delivered_orders, row.total_unique_buyers, row.active_sellers) == (1, 2, 1)
+    assert row.total_item_gmv == Decimal("20.00")
+    nothing = kpis.business_summary(orders.limit(0), customers, items).first()
+    assert (nothing.total_delivered_orders, nothing.total_unique_buyers, nothing.active_sellers) == (0, 0, 0)
+
+
 def test_missing_freight_is_left_out_of_sums_and_means(spark):
     orders = orders_of(spark, ("o1", "c1", "delivered", "2017-01-01 00:00:00", None, None))
     customers = customers_of(spark, ("c1", "u1", "SP"))
