@@ -39,6 +39,8 @@ PATTERN = (
     + "|".join([SECRET, *map(_unnumbered, FORMS.values()), HEX_SECRET])
     + r")(?![\p{L}\p{N}_])"
 )
+# Whatever matches holds a digit, the mark of an address or of a secret, or is hexadecimal letters alone.
+MAY_MATCH = "[0-9@=:]|[a-f]{32}|[A-F]{32}"
 
 
 def feistel(digits: Column, radices: Column, tweak: Column, key: str) -> Column:
@@ -274,7 +276,7 @@ def pseudonymised(text: Column, key: str) -> Column:
 
     empty = F.array().cast("array<struct<found:string,given:string>>")
     return F.when(
-        text.rlike("[0-9@=]"), _let(_let(matches, of), rebuilt)
+        text.rlike(MAY_MATCH), _let(_let(matches, of), rebuilt)
     ).otherwise(F.struct(text.alias("text"), empty.alias("changed")))
 
 

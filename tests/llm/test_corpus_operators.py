@@ -329,6 +329,14 @@ def test_pseudonyms_keep_format_validity_and_links(spark, docs, rows, none):
     assert pseudonyms.pseudonymise(none).count() == 0
 
 
+@pytest.mark.parametrize("text", ["password: correcthorse", '"api_key": "abcdefghijkl"', f"key {'abcdef' * 6} end", f"key {'ABCDEF' * 6} end"])
+def test_secrets_without_a_digit_are_replaced(spark, text):
+    frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = pseudonyms.pseudonymise(frame, "k").first()
+    assert got.n_pseudonyms == 1 and got.text != text and len(got.text) == len(text)
+    assert pseudonyms.replace_personal_data(frame, "k").first().text == got.text
+
+
 def test_feistel_is_a_permutation(spark):
     frame = spark.range(27 * 11).select(F.array((F.col("id") / 11).cast("int"), (F.col("id") % 11).cast("int")).alias("d"))
     moved = frame.select(pseudonyms.feistel(F.col("d"), F.array(F.lit(27), F.lit(11)), F.lit("t"), "k").alias("m"))
