@@ -16,10 +16,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group, by id; of repeated rows of an id all, none without an id."""
-    groups = simhash.simhash_groups(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id == kept.kept_id, "left_semi")
+    """One row of each group: the first by id, rows without an id last, then the first read.
+
+    Rows are numbered as they are staged, so repeated rows and rows without an id are told apart.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    groups = simhash.simhash_groups(rows, id_col=row).select(F.col("doc_id").alias("member"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "member").alias("order")
+    ids = rows.select(F.col(row).alias("member"), "doc_id")
+    first = groups.join(ids, "member").groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = first.select(F.col("first.member").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,6 +168,23 @@ def test_simhash_groups_equal_brute_force(docs, rows, none):
     assert key((None, 1)) == (-1, 1)
 
 
+def test_the_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d, e = (sentence(rng, 80) for _ in range(5))
+    rows = [(None, a), (3, b), (2, b), (2, b), (None, b), (None, c), (None, c), (5, d), (5, d), (5, e), (4, e), (None, a + " end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_row", F.lit("x"))
+    fps = {t: simple_fingerprint(t) for _, t in rows}
+    assert all((fps[x] ^ fps[y]).bit_count() > 4 for x, y in itertools.combinations((a, b, c, d, e), 2))
+    near = (fps[a] ^ fps[a + " end"]).bit_count() <= 4
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    want = [(None, a), (2, b), (None, c), (5, d), (4, e)] + [(None, a + " end")] * (not near)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def test_vantage_shards_lose_no_link(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
