@@ -31,7 +31,8 @@ class WordEncoder:
     The vocabulary's pattern starts a new piece at a single space between two other characters
     and makes a single line break there a piece of its own. A text may therefore be encoded
     word by word, each with the space or line break before it. Words with white space at
-    either end break this rule; a text that holds one is encoded whole.
+    either end break this rule; a text that holds one is encoded whole. So is a text that holds
+    an added token such as ``<|endoftext|>``, which is one id as in the given file.
     """
 
     _BREAK = "\x00"  # stands for a line break in front of a word
@@ -40,14 +41,14 @@ class WordEncoder:
         import tokenizers
 
         self._tokenizer = tokenizers.Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._newline = self._ids("\n")
         self._known: dict[str, bytes] = {}  # no bytes: the word cannot stand alone
 
     def encode(self, text: str) -> bytes:
         if len(self._known) > CACHE_WORDS:
             self._known.clear()
-        if self._BREAK in text:
+        if self._BREAK in text or any(t in text for t in self._added):
             return self._ids(text).tobytes()
         words = f"\n{text}".replace("\n", f" {self._BREAK}").split(" ")[1:]
         parts = list(map(self._known.get, words))

@@ -146,6 +146,18 @@ def test_word_by_word_ids_are_those_of_the_text(text):
         assert encoder.encode(text) == encoder._ids(text).tobytes()
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>\n<|endoftext|>b c"])
+def test_ids_of_added_tokens_are_those_of_the_file(text):
+    import tokenizers
+
+    plain = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    ids = plain.encode(text, add_special_tokens=False).ids
+    assert ids.count(50256) == text.count("<|endoftext|>")
+    encoder = packing.WordEncoder(queries.tokenizer_path())
+    for _ in range(2):
+        assert encoder.encode(text) == np.array(ids, dtype="<u4").tobytes()
+
+
 def simple_fingerprint(text):
     parts = (text or "").encode().lower().split()
     if not parts:
