@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ ROUNDS = 8  # even, so that both halves end where they began
 KEY = "agoralytics"  # for samples and tests; production passes its own
 
 # The forms that are recognised, each standing alone between other characters.
-# Where several match, the first one that is also valid counts.
+# Every place where one can start is tried, and there the match and what its words begin with;
+# from left to right, the first one that is also valid counts.
 FORMS = {
     "email": r"[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
@@ -19,7 +22,7 @@ FORMS = {
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}",
-    "card": r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{13,19}",
+    "card": r"\d{4}(?:[ -]?\d{4}){3}[ -]\d{1,3}|\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19}",
 }
 SECRET = r"""(?i:password|passwd|token|secret|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_-]{8,}"""
 _SECRET_NAME = r"""^.*?[=:]\s{0,3}["']?"""
@@ -34,11 +37,19 @@ def _unnumbered(pattern: str) -> str:
     return pattern.replace(r"([-/.])", "[-/.]").replace(r"\1", "[-/.]").replace(r"\2", "[-/.]")
 
 
-PATTERN = (
-    r"(?<![\p{L}\p{N}_])(?:"
-    + "|".join([SECRET, *map(_unnumbered, FORMS.values()), HEX_SECRET])
-    + r")(?![\p{L}\p{N}_])"
+# An empty match at each start, with what matches there as the first group. A secret's name may end a longer one.
+STARTS = (
+    rf"(?=({SECRET}(?![\p{{L}}\p{{N}}_])|(?<![\p{{L}}\p{{N}}_])(?:"
+    + "|".join([*map(_unnumbered, FORMS.values()), HEX_SECRET])
+    + r")(?![\p{L}\p{N}_])))"
 )
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG YE",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
 # Whatever matches holds a digit, the mark of an address or of a secret, or is hexadecimal letters alone.
 MAY_MATCH = "[0-9@=:]|[a-f]{32}|[A-F]{32}"
 
@@ -210,33 +221,73 @@ def _date(m: Column, key: str) -> Column:
     )
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """What stands for one match: of the same form and validity; itself where nothing valid matches."""
+def _valid_kinds(m: Column) -> dict[str, Column]:
+    """Which kinds of value a text is, as a whole and valid; the first that holds counts."""
 
     def whole(kind: str) -> Column:
         return m.rlike(f"^(?:{FORMS[kind]})$")
 
+    octets_valid = F.forall(F.split(m, r"\.").try_cast("array<int>"), lambda o: o < 256)
+    area, group, serial = (F.split_part(m, F.lit("-"), F.lit(k)) for k in (1, 2, 3))
+    issued = ~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000")
+    return {
+        "secret": m.rlike(f"^(?:{SECRET})$"),
+        "email": whole("email"),
+        "iban": whole("iban") & (iban_remainder(m) == 1),
+        "date": whole("date") & _day(m).isNotNull(),
+        "ip": whole("ip") & octets_valid,
+        "ssn": whole("ssn") & issued,
+        "card": whole("card") & (luhn_sum(_digits(m)) == 0),
+        "phone": whole("phone"),
+        "hex": m.rlike(f"^(?:{HEX_SECRET})$"),
+    }
+
+
+def valid_part(m: Column) -> Column:
+    """The match, or what it begins with up to a space or dash, that is valid; null if nothing is.
+
+    An IBAN of its country's length comes first, then the longest.
+    """
+    words = F.split(m, "[ -]")
+    begun = F.transform(
+        F.sequence(F.size(words), F.lit(1), F.lit(-1)),
+        lambda k: F.substr(m, F.lit(1), F.length(F.array_join(F.slice(words, 1, k), " "))),
+    )
+
+    def lawful(p: Column) -> Column:
+        length = F.length(F.regexp_replace(p, " ", ""))
+        same = [(length == n) & F.substr(p, F.lit(1), F.lit(2)).isin(*c.split()) for n, c in IBAN_LENGTHS.items()]
+        return p.rlike(f"^(?:{FORMS['iban']})$") & reduce(or_, same)
+
+    def valid(p: Column) -> Column:
+        return reduce(or_, _valid_kinds(p).values())
+
+    ordered = _let(begun, lambda b: F.concat(F.filter(b, lawful), b))
+    return _let(F.filter(ordered, valid), lambda v: F.try_element_at(v, F.lit(1)))
+
+
+def pseudonym(m: Column, key: str) -> Column:
+    """What stands for one match: of the same form and validity; itself where nothing valid matches."""
+    kinds = _valid_kinds(m)
+
     def after(name: str, kind: str) -> Column:
         return F.concat(
             F.regexp_extract(m, name, 0), permute_text(F.regexp_replace(m, name, ""), kind, key)
         )
 
-    octets_valid = F.forall(F.split(m, r"\.").try_cast("array<int>"), lambda o: o < 256)
-    area, group, serial = (F.split_part(m, F.lit("-"), F.lit(k)) for k in (1, 2, 3))
-    issued = ~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000")
     domain = F.regexp_extract(m, "@.*$", 0)
     return (
-        F.when(m.rlike(f"^(?:{SECRET})$"), after(_SECRET_NAME, "secret"))
+        F.when(kinds["secret"], after(_SECRET_NAME, "secret"))
         .when(
-            whole("email"), F.concat(permute_text(F.regexp_extract(m, "^[^@]*", 0), "email", key), domain)
+            kinds["email"], F.concat(permute_text(F.regexp_extract(m, "^[^@]*", 0), "email", key), domain)
         )
-        .when(whole("iban") & (iban_remainder(m) == 1), _iban(m, key))
-        .when(whole("date") & _day(m).isNotNull(), _like(m, _date(m, key)))
-        .when(whole("ip") & octets_valid, _ip(m, key))
-        .when(whole("ssn") & issued, _ssn(m, key))
-        .when(whole("card") & (luhn_sum(_digits(m)) == 0), _card(m, key))
-        .when(whole("phone"), after(r"^(?:\+\d{1,3})?", "phone"))
-        .when(m.rlike(f"^(?:{HEX_SECRET})$"), permute_text(m, "secret", key))
+        .when(kinds["iban"], _iban(m, key))
+        .when(kinds["date"], _like(m, _date(m, key)))
+        .when(kinds["ip"], _ip(m, key))
+        .when(kinds["ssn"], _ssn(m, key))
+        .when(kinds["card"], _card(m, key))
+        .when(kinds["phone"], after(r"^(?:\+\d{1,3})?", "phone"))
+        .when(kinds["hex"], permute_text(m, "secret", key))
         .otherwise(m)
     )
 
@@ -262,21 +313,55 @@ def _like(m: Column, iso: Column) -> Column:
 
 def pseudonymised(text: Column, key: str) -> Column:
     """``struct(text, found, given)``: the text with pseudonyms, what was replaced and by what."""
-    matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    starts = F.struct(
+        F.split(text, STARTS).alias("pieces"), F.regexp_extract_all(text, F.lit(STARTS), F.lit(1)).alias("matches")
+    )
 
-    def rebuilt(pair: Column) -> Column:
-        pieces = F.zip_with(
-            F.split(text, PATTERN), F.concat(pair["given"], F.array(F.lit(""))), lambda p, g: F.concat(p, g)
+    def tried(s: Column) -> Column:
+        """Per piece of the text the valid value that starts with it; the first piece may have none."""
+        lead = F.size(s["pieces"]) > F.size(s["matches"])
+        matches = F.when(lead, F.concat(F.array(F.lit("")), s["matches"])).otherwise(s["matches"])
+        return F.zip_with(s["pieces"], matches, lambda p, m: F.struct(p.alias("piece"), valid_part(m).alias("found")))
+
+    def step(done: Column, x: Column) -> Column:
+        """Values that start inside one that is replaced are not; its characters are left out."""
+        taken = (done["hidden"] == 0) & x["found"].isNotNull()
+        hidden = F.when(taken, F.length(x["found"])).otherwise(done["hidden"])
+        part = F.struct(
+            F.substr(x["piece"], hidden + 1).alias("rest"), F.when(taken, x["found"]).alias("found")
+        )
+        return F.struct(
+            F.greatest(hidden - F.length(x["piece"]), F.lit(0)).alias("hidden"),
+            F.concat(done["parts"], F.array(part)).alias("parts"),
+        )
+
+    def chosen(pieces: Column) -> Column:
+        none = F.struct(
+            F.lit(0).alias("hidden"), F.array().cast("array<struct<rest:string,found:string>>").alias("parts")
+        )
+        return F.aggregate(pieces, none, step)["parts"]
+
+    def given(parts: Column) -> Column:
+        return F.transform(
+            parts,
+            lambda p: F.struct(
+                p["rest"].alias("rest"),
+                p["found"].alias("found"),
+                F.when(p["found"].isNotNull(), pseudonym(p["found"], key)).alias("given"),
+            ),
         )
-        both = F.filter(F.arrays_zip(pair["found"], pair["given"]), lambda z: z["found"] != z["given"])
-        return F.struct(F.array_join(pieces, "").alias("text"), both.alias("changed"))
 
-    def of(found: Column) -> Column:
-        return F.struct(found.alias("found"), F.transform(found, lambda m: pseudonym(m, key)).alias("given"))
+    def rebuilt(parts: Column) -> Column:
+        changed = F.transform(
+            F.filter(parts, lambda p: p["found"] != p["given"]),
+            lambda p: F.struct(p["found"].alias("found"), p["given"].alias("given")),
+        )
+        pieces = F.transform(parts, lambda p: F.concat(F.coalesce(p["given"], F.lit("")), p["rest"]))
+        return F.struct(F.array_join(pieces, "").alias("text"), changed.alias("changed"))
 
     empty = F.array().cast("array<struct<found:string,given:string>>")
     return F.when(
-        text.rlike(MAY_MATCH), _let(_let(matches, of), rebuilt)
+        text.rlike(MAY_MATCH), _let(_let(_let(starts, tried), lambda x: given(chosen(x))), rebuilt)
     ).otherwise(F.struct(text.alias("text"), empty.alias("changed")))
 
 

@@ -366,6 +366,40 @@ def test_secrets_without_a_digit_are_replaced(spark, text):
     assert pseudonyms.replace_personal_data(frame, "k").first().text == got.text
 
 
+BESIDE = [  # text, and the only values in it that are valid
+    ("pay ES9121000418450200051332 BIC now", ["ES9121000418450200051332"]),
+    ("BE68 5390 0754 7034 NOW", ["BE68 5390 0754 7034"]),
+    ("AT61 1904 3002 3457 3201 SWIFT", ["AT61 1904 3002 3457 3201"]),
+    ("IBAN BE68 5390 0754 7034 4111 1111 1111 1111 CVV", ["BE68 5390 0754 7034", "4111 1111 1111 1111"]),
+    ("exp 2025 4111 1111 1111 1111, 12", ["4111 1111 1111 1111"]),
+    ("AMEX 3782 822463 10005 VISA", ["3782 822463 10005"]),
+    ("378282246310005 X", ["378282246310005"]),
+    ("DB_PASSWORD=hunter2hunter2 X", ["DB_PASSWORD=hunter2hunter2"]),
+    ("access_token: abcdEFGH1234", ["access_token: abcdEFGH1234"]),
+    ("client_secret = qwertyuiop", ["client_secret = qwertyuiop"]),
+    ("a.b.c@d.org,1.2.3.4", ["a.b.c@", "1.2.3.4"]),
+]
+
+
+def test_values_beside_upper_case_words_and_numbers(spark):
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(BESIDE)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame, "k").collect()}
+    for k, (text, values) in enumerate(BESIDE):
+        new, at = got[k].text, 0
+        assert len(new) == len(text) and got[k].n_pseudonyms == len(values), (text, new)
+        for value in values:
+            start = text.index(value, at)
+            assert new[at:start] == text[at:start] and new[start : start + len(value)] != value
+            at = start + len(value)
+        assert new[at:] == text[at:]
+    for k in range(4):
+        value = BESIDE[k][1][0]
+        start = BESIDE[k][0].index(value)
+        iban = got[k].text[start : start + len(value)].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert luhn(got[5].text) and got[7].text.startswith("DB_PASSWORD=")
+
+
 def test_feistel_is_a_permutation(spark):
     frame = spark.range(27 * 11).select(F.array((F.col("id") / 11).cast("int"), (F.col("id") % 11).cast("int")).alias("d"))
     moved = frame.select(pseudonyms.feistel(F.col("d"), F.array(F.lit(27), F.lit(11)), F.lit("t"), "k").alias("m"))
