@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+PART = 0.5  # of the shingles of the question, and of the answer, that a leak holds at least
 K1, B = 1.2, 0.75
 BLOCKS = 32  # of an index's items, whose largest impacts are kept per term
 INDEX_ITEMS = 5_000  # items of one index; a larger test set makes several
@@ -71,8 +73,9 @@ def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
 class Index:
     """BM25 impacts of test items by term, in blocks of items with the largest impact of each.
 
-    An impact is divided by the score that its item must reach: the score of the whole item
-    less the heaviest terms that may be absent while ``similarity`` of its shingles are present.
+    An item stands in the index with the longer of its question and answer, as a leak holds
+    both but not always side by side. An impact is divided by the score that this part must
+    reach: the score of the whole part less the heaviest terms that may be absent in a leak.
     Words at ``k`` places lie in at least ``k`` shingles, so no more terms can be absent than
     shingles are broken; where an item repeats shingles, each absent term breaks at least the
     one that starts with its first occurrence, if that is not among the last four words. No
@@ -84,8 +87,10 @@ class Index:
         parts = [p for p in parts if p[1] or p[2]]
         self.items = [p[0] for p in parts]
         self.parts = [(shingles(q), shingles(a), shingles(q + a)) for _, q, a in parts]
-        counts = [Counter(q + a) for _, q, a in parts]
-        self.longest = max((c.total() for c in counts), default=0)
+        self.longer = [int(len(a) > len(q)) for _, q, a in parts]
+        self.broken = []  # shingles of the longer part that a leak may lack
+        counts = [Counter(p[1 + k]) for p, k in zip(parts, self.longer, strict=True)]
+        self.longest = max((len(q) + len(a) for _, q, a in parts), default=0)
         mean = sum(c.total() for c in counts) / max(len(counts), 1)
         held = Counter(w for c in counts for w in c)
         self.terms = {w: k for k, w in enumerate(held)}
@@ -99,8 +104,10 @@ class Index:
         for k, c in enumerate(counts):
             norm = K1 * (1 - B + B * c.total() / mean)
             impact = {w: rarity[w] * n * (K1 + 1) / (n + norm) for w, n in c.items()}
-            broken = math.floor((1 - similarity) * len(self.parts[k][2]) + 1e-9)
-            repeats = len(self.parts[k][2]) < c.total() - SHINGLE_WORDS + 1
+            part = self.parts[k][self.longer[k]]
+            broken = math.floor(min((1 - similarity) * len(self.parts[k][2]), (1 - PART) * len(part)) + 1e-9)
+            self.broken.append(broken)
+            repeats = len(part) < c.total() - SHINGLE_WORDS + 1
             absent = broken + (SHINGLE_WORDS - 1 if broken and repeats else 0)
             heaviest = sorted(impact.values(), reverse=True)
             need = max(sum(heaviest[absent:]), heaviest[-1])
@@ -108,7 +115,8 @@ class Index:
                 postings[self.terms[w]].append((k, x / need * (1 + 1e-9)))
         self.of_item = [np.array([k for k, _ in p]) for p in postings]
         self.impact = [np.array([x for _, x in p]) for p in postings]
-        self.most = np.array([x.max() for x in self.impact])
+        self.lists = [(k.tolist(), x.tolist()) for k, x in zip(self.of_item, self.impact, strict=True)]
+        self.most = [max(x) for _, x in self.lists]
         self.block_items = max(1, -(-len(parts) // BLOCKS))
         self.block_most = np.zeros((len(postings), BLOCKS), dtype=np.float32)
         for t, (of_item, impact) in enumerate(zip(self.of_item, self.impact, strict=True)):
@@ -140,14 +148,15 @@ class Index:
         largest impacts of the cursors up to it can lift to 1; a pivot in a block whose bound
         stays below 1 moves them to the next block whose bound does not.
         """
-        found = []
+        found, lists, most = [], self.lists, self.most
         open_ = np.append(np.flatnonzero(by_block >= 1), len(by_block))
-        at = {int(t): 0 for t in terms}
+        at = dict.fromkeys(terms.tolist(), 0)
+        ahead = [(lists[t][0][0], t) for t in at]
         while True:
-            ahead = sorted((int(self.of_item[t][k]), t) for t, k in at.items() if k < len(self.of_item[t]))
+            ahead.sort()
             total, pivot = 0.0, None
             for item, t in ahead:
-                total += self.most[t]
+                total += most[t]
                 if total >= 1:
                     pivot = item
                     break
@@ -160,17 +169,19 @@ class Index:
                 target = pivot
             else:
                 here = [t for item, t in ahead if item == pivot]
-                score = sum(self.impact[t][at[t]] for t in here)
+                score = sum(lists[t][1][at[t]] for t in here)
                 if score >= 1:
                     found.append((pivot, float(score)))
                 target = pivot + 1
-            for item, t in ahead:
-                if item < target:
-                    at[t] = int(np.searchsorted(self.of_item[t], target))
+            moved = bisect_left(ahead, (target,))
+            for k, (_, t) in enumerate(ahead[:moved]):
+                own = lists[t][0]
+                at[t] = place = bisect_left(own, target, at[t])
+                ahead[k] = (own[place] if place < len(own) else len(self.items), t)
+            ahead = [x for x in ahead if x[0] < len(self.items)]
 
-    def overlaps(self, item: int, words: list[bytes]) -> tuple[float, float, float]:
-        """Shares of an item's shingles that a passage holds: all, of the question, of the answer."""
-        have = {n: {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} for n in range(1, SHINGLE_WORDS + 1)}
+    def overlaps(self, item: int, have: dict[int, set[tuple[bytes, ...]]]) -> tuple[float, float, float]:
+        """Shares of an item's shingles that are held: all, of the question, of the answer."""
 
         def share(part: set[tuple[bytes, ...]]) -> float:
             return sum(x in have[len(x)] for x in part) / len(part) if part else 1.0
@@ -179,12 +190,24 @@ class Index:
         return share(whole), share(question), share(answer)
 
 
+def word_runs(words: list[bytes]) -> dict[int, set[tuple[bytes, ...]]]:
+    """All runs of 1 to ``SHINGLE_WORDS`` words, by their number of words."""
+    return {n: {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} for n in range(1, SHINGLE_WORDS + 1)}
+
+
+def is_leak(shares: tuple[float, float, float], similarity: float) -> bool:
+    """Question and answer are both held, ``PART`` of each, and ``similarity`` of the whole item or of each."""
+    whole, *parts = shares
+    return min(parts) >= PART and max(whole, min(parts)) >= similarity
+
+
 def scan(index: Index, similarity: float, texts: list[str]) -> list[tuple]:
     """``(document, item, position, score, overlaps)`` of each leak, the best passage per item.
 
     A passage is two neighbouring stretches of a document, each a quarter longer than the
     longest item; passages overlap by a stretch, so whatever fits in one lies in a passage. The
-    block bounds of a passage are at most the sums of its stretches'.
+    block bounds of a passage are at most the sums of its stretches'. A passage must hold enough
+    of an item's longer part; what decides, and is reported, is counted over the whole document.
     """
     if not index.items:
         return []
@@ -206,6 +229,8 @@ def scan(index: Index, similarity: float, texts: list[str]) -> list[tuple]:
     joined = np.append(doc_of[1:] == doc_of[:-1], False)
     bound[joined] += bound[1:][joined[:-1]]
     best: dict[tuple[int, int], tuple] = {}
+    shares: dict[tuple[int, int], tuple[float, float, float]] = {}
+    read, words, everywhere = -1, [], None  # the document at hand
     for row in np.flatnonzero(bound.max(axis=1) >= 1).tolist():
         doc = int(doc_of[row])
         a = (row - int(base[doc])) * size
@@ -217,13 +242,22 @@ def scan(index: Index, similarity: float, texts: list[str]) -> list[tuple]:
         by_block = index.block_most[own].sum(axis=0)
         if by_block.max() < 1:
             continue
+        have = None
         for item, score in index.retrieve(own, by_block):
-            shares = index.overlaps(item, words_of(texts[doc])[a:b])
-            if shares[0] >= similarity:
-                rank = (shares[0], score, -a)
+            if doc != read:
+                read, words, everywhere = doc, words_of(texts[doc]), None
+            have = have or word_runs(words[a:b])
+            part = index.parts[item][index.longer[item]]
+            if sum(x not in have[len(x)] for x in part) > index.broken[item]:
+                continue
+            if (doc, item) not in shares:
+                everywhere = everywhere or word_runs(words)
+                shares[doc, item] = index.overlaps(item, everywhere)
+            if is_leak(shares[doc, item], similarity):
+                rank = (index.overlaps(item, have)[0], score, -a)
                 if (doc, item) not in best or rank > best[doc, item][0]:
-                    best[doc, item] = (rank, a, score, shares)
-    return [(doc, item, a, score, *shares) for (doc, item), (_, a, score, shares) in best.items()]
+                    best[doc, item] = (rank, a, score)
+    return [(*key, a, score, *shares[key]) for key, (_, a, score) in best.items()]
 
 
 LEAK_SCHEMA = (
@@ -268,9 +302,11 @@ def leaks(
     """Benchmark items that documents hold, one row per row of ``docs`` and item.
 
     Words are runs of letters and digits in lower case. Each document is cut into overlapping
-    passages, all of which query a BM25 index of the items; those that may hold ``similarity``
-    of an item's five-word shingles are retrieved, and the shingles then counted in the whole
-    item, its question and its answer (the last sentence). Returns ``doc_id, item_id,
+    passages, all of which query a BM25 index of the items' longer parts, question or answer (the
+    last sentence); those that may hold enough of its five-word shingles are retrieved. The
+    shingles of the whole item, its question and its answer are then counted in the document, so
+    text between the two does not matter. A leak holds ``PART`` of the question and of the
+    answer, and ``similarity`` of the whole item or of each. Returns ``doc_id, item_id,
     word_position`` (start of the best passage), ``score`` (1: the least that can pass),
     ``overlap, question_overlap, answer_overlap``. An item of fewer words is one shingle.
 

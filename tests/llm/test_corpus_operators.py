@@ -299,6 +299,18 @@ def test_leaks_equal_a_count_of_shingles(spark, rows):
     assert decontamination.leaks(docs.limit(0), items).count() == 0
 
 
+def test_leaks_hold_question_and_answer_wherever_they_stand(spark):
+    rng = random.Random(11)
+    question, answer = "Which of the " + " ".join(f"q{k}" for k in range(40)) + "?", "It is the warm outer moli of them."
+    other, gap = "No one can say what that might ever be.", sentence(rng, 600)
+    texts = [f"{question}\n{answer}", f"{question} {gap} {answer}", f"{answer} {gap} {question}", f"{question}\n{other}", question, f"{gap} {answer}", f"{gap} {question}\n{other} {gap}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, texts[0]), (2, f"{sentence(rng, 9)} x?\n{sentence(rng, 30)} y.")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap) for r in decontamination.leaks(docs, items).collect()}
+    assert got == {(k, 1): (1.0, 1.0) for k in range(3)}
+    assert {r.doc_id for r in decontamination.drop_leaks(docs, items).collect()} == {3, 4, 5, 6}
+
+
 def test_scores_separate_classes_and_depend_on_the_text_alone(spark, docs, rows, none):
     rng = random.Random(6)
     good = [(i, sentence(rng, rng.randint(20, 90)) + ".") for i in range(1000, 1120)]
