@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from agoralytics.llm import (
     covertree,
     decontamination,
+    doubling,
     fixity,
     licences,
+    manifest,
     packing,
     pseudonyms,
     quality,
+    ranked,
     repeats,
     sharding,
     simhash,
 )
+from agoralytics.llm.oracle import ORACLE_SQL  # noqa: F401  read where the queries are registered
 from agoralytics.plans.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +114,33 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Prove all documents against their manifest; every seventh id by checksum claims one more character."""
+    docs = table(spark, folder, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    draw = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    raised = F.col("n_chars").cast("decimal(20,0)") + 1  # the largest number of characters has a successor too
+    altered = manifest.leaf_digest(*(raised if f == "n_chars" else F.col(f) for f in fields))
+    return manifest.prove(
+        docs.select(
+            manifest.tree_key(F.col("lang")).alias("tree"),
+            "doc_id",
+            manifest.leaf_digest(*map(F.col, fields)).alias("leaf"),
+            F.when(draw == 0, altered).alias("claimed"),
+        )
+    )
+
+
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_windows(spark: SparkSession, folder: str) -> DataFrame:
+    done = doubling.strip_windows(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_pseudonyms": op2_pseudonyms,
@@ -121,5 +152,7 @@ QUERIES: dict[str, Query] = {
     "op8_licences": op8_licences,
     "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
+    "op11_manifest": op11_manifest,
+    "op12_search": op12_search,
+    "op13_windows": op13_windows,
 }
-ORACLE_SQL: dict[str, str] = {}
