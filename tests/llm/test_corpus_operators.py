@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -412,7 +413,46 @@ def test_values_beside_upper_case_words_and_numbers(spark):
     assert luhn(got[5].text) and got[7].text.startswith("DB_PASSWORD=")
 
 
+CRAFTED = {  # what once took a deep stack or a time that grew with the square
+    "dashes": "1 " + "-" * 200_000,
+    "labels": "1 x@" + "a." * 100_000,
+    "addresses": "x@a.a.a." * 25_000,
+    "digits": "7" * 100_000,
+    "groups": "1111 " * 20_000,
+    "ones": "1 " * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", CRAFTED)
+def test_long_crafted_texts_end_soon(spark, name):
+    frame = spark.createDataFrame([(1, CRAFTED[name])], "doc_id bigint, text string")
+    pseudonyms.pseudonymise(frame.limit(0), "k").collect()
+    started = time.monotonic()
+    (got,) = pseudonyms.pseudonymise(frame, "k").collect()
+    assert time.monotonic() - started < 20
+    assert len(got.text) == len(CRAFTED[name]) and got.n_pseudonyms == (name == "digits")
+
+
+def test_many_values_in_one_text_link_and_prose_stays(spark):
+    texts = ["2020-01-02 x " * 2000, "The token: something else. Secret: nothing.", "token: Abcdefgh1", "token=abcdefgh", "a@x.org b@x.org 010.1.20.255"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame, "k").collect()}
+    assert got[0].n_pseudonyms == 2000 and len(set(got[0].pseudonyms)) == 1
+    assert got[0].text == f"{got[0].pseudonyms[0]} x " * 2000
+    assert got[1].text == texts[1] and got[2].n_pseudonyms == got[3].n_pseudonyms == 1
+    assert [len(o) for o in got[4].text.split()[2].split(".")] == [3, 1, 2, 3]
+
+
+def test_the_plan_holds_each_rule_once(spark, none):
+    plan = pseudonyms.pseudonymise(none)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000
+
+
 def test_feistel_is_a_permutation(spark):
+    single = spark.createDataFrame([([k],) for k in range(26)], "d array<int>")
+    alone = single.select(pseudonyms.feistel(F.col("d"), F.array(F.lit(26)), F.lit("t"), "k")[0].alias("m"))
+    assert sorted(r.m for r in alone.collect()) == list(range(26))
+    assert len({(r.m - k) % 26 for k, r in enumerate(alone.collect())}) > 1
     frame = spark.range(27 * 11).select(F.array((F.col("id") / 11).cast("int"), (F.col("id") % 11).cast("int")).alias("d"))
     moved = frame.select(pseudonyms.feistel(F.col("d"), F.array(F.lit(27), F.lit(11)), F.lit("t"), "k").alias("m"))
     assert {tuple(r.m) for r in moved.collect()} == set(itertools.product(range(27), range(11)))
