@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
@@ -15,16 +17,44 @@ from pyspark.sql import functions as F
 END_ID = 0
 TIERS = (128, 256, 512, 1024)
 BUFFER_TOKENS = 1 << 21  # a task packs together documents of about so many tokens
-CACHE_WORDS = 1 << 19  # a task remembers the ids of so many words
+CACHE_WORDS = 1 << 20  # a worker remembers the ids of so many words
 STEP_TOKENS = 1 << 15  # tokens of one training step
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint, tier int, step_group bigint"
 )
+# Fixed value: how byte-level vocabularies of this kind cut a text into pieces.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")  # the same kind of character in every version
 Piece = tuple[int, int, int]  # length, document, first token
 
 
+def quick_encoding(path: str):
+    """The file's vocabulary for a faster library that gives the same ids, or None for other kinds of file.
+
+    That library always joins the pair whose joint piece has the lowest id. This is the order
+    of the file's merges if their pieces have rising ids, as in byte-level vocabularies.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    model, split = made["model"], made.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not made.get("normalizer") and not model.get("ignore_merges")
+    if not plain or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        return None
+    vocabulary, added = model["vocab"], {t["content"] for t in made["added_tokens"]}
+    pieces = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(pieces, pieces[1:], strict=False)):
+        return None
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if piece not in added}
+    return tiktoken.Encoding("words", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordEncoder:
     """Ids of texts, as little-endian 32-bit bytes, remembering the ids of single words.
 
@@ -43,6 +73,7 @@ class WordEncoder:
         self._tokenizer = tokenizers.Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._newline = self._ids("\n")
+        self._quick = quick_encoding(path)
         self._known: dict[str, bytes] = {}  # no bytes: the word cannot stand alone
 
     def encode(self, text: str) -> bytes:
@@ -62,6 +93,9 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def _quick_ids(self, text: str) -> np.ndarray:
+        return np.asarray(self._quick.encode_ordinary(text), dtype="<u4")
+
     def _learn(self, words: set[str]) -> None:
         """Encode many words at once, a line each; the line break is one id, which no word holds."""
         self._known.update(dict.fromkeys(words, b""))
@@ -69,9 +103,15 @@ class WordEncoder:
         alone = [w for w, p in plain.items() if p and not p[0].isspace() and not p[-1].isspace()]
         if len(self._newline) != 1:
             return
-        for space, own in ((" ", [w for w in alone if plain[w] == w]), ("", [w for w in alone if plain[w] != w])):
+        quick = [w for w in alone if self._quick and _LATIN.fullmatch(plain[w])]
+        other = [w for w in alone if not self._quick or not _LATIN.fullmatch(plain[w])]
+        for space, own, encode in (
+            (space, [w for w in group if (plain[w] == w) == bool(space)], encode)
+            for group, encode in ((quick, self._quick_ids), (other, self._ids))
+            for space in (" ", "")
+        ):
             if own:
-                ids = self._ids("\n".join(space + plain[w] for w in own))
+                ids = encode("\n".join(space + plain[w] for w in own))
                 ends = np.append(np.flatnonzero(ids == self._newline[0]), len(ids)).tolist()
                 raw, start = ids.tobytes(), 0
                 before = b"" if space else self._newline.tobytes()
@@ -80,6 +120,20 @@ class WordEncoder:
                     start = end + 1
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which serves one task after another and need not learn words anew.
+
+    The functions of this module reach a worker with each task, so what lasts is kept at the
+    tokenizer library, which the worker loads once.
+    """
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_word_encoders", {})
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
+
+
 def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[Piece]]]:
     """Windows ``(size, pieces)`` that hold every token of documents of ``lengths`` once.
 
@@ -158,7 +212,7 @@ def step_groups(windows: list[tuple[int, list[Piece]]], step_tokens: int = STEP_
 
 def packer(path: str, tiers: tuple[int, ...], buffer_tokens: int) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = worker_encoder(path)
         base = TaskContext.get().partitionId() << 36
         sequences = steps = 0
         end = np.asarray([END_ID], dtype="<u4").tobytes()
