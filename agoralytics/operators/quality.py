@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agoralytics.functions.ranking import exact_quantiles
+from agoralytics.functions.ranking import series_quantiles
 from agoralytics.functions.scalars import complete_months, flag, money, percent
 from agoralytics.operators.common import DELIVERED, payment_per_order, with_status
 
@@ -216,18 +216,22 @@ _QUARTILES = (0.25, 0.5, 0.75)
 def describe_rfm(rfm: DataFrame) -> DataFrame:
     """Eight-row numeric profile of recency, frequency and monetary value.
 
-    Days and order counts have few distinct values, so their exact percentiles
-    come from a small per-value count; spend does not, and uses the global order.
+    The quartiles of all three are searched by magnitude in one pass; no rows are sorted.
     """
     columns = ("recency", "frequency", "monetary")
-    quartiles = {}
-    for name in columns[:2]:
-        per_value = rfm.groupBy(name).agg(F.count(F.lit(1)).alias("_rows"))
-        quartiles[name] = per_value.agg(
-            F.percentile(name, list(_QUARTILES), F.col("_rows")).alias("q")
-        ).scalar()
-    spread = exact_quantiles(rfm, "monetary", "customer_unique_id", _QUARTILES)
-    quartiles["monetary"] = spread.select(F.array("q0", "q1", "q2")).scalar()
+    series = F.array(
+        *(F.struct(F.lit(i).alias("series"), F.col(name).cast("decimal(22,2)").alias("value")) for i, name in enumerate(columns))
+    )
+    rows = rfm.select(F.explode(series).alias("_s")).select("_s.*")
+    found = series_quantiles(rows, _QUARTILES)
+    picked = found.agg(
+        *(
+            F.max(F.when(F.col("series") == i, F.col(f"q{k}"))).alias(f"{name}_{4 + k}")
+            for i, name in enumerate(columns)
+            for k in range(len(_QUARTILES))
+        )
+    )
+    quartiles = picked.select(F.struct(*picked.columns)).scalar()
 
     def measures(name: str) -> list[Column]:
         value = F.col(name).cast("double")
@@ -240,9 +244,7 @@ def describe_rfm(rfm: DataFrame) -> DataFrame:
         ]
 
     wide = rfm.agg(*(m for name in columns for m in measures(name)))
-    wide = wide.withColumns(
-        {f"{name}_{4 + i}": quartiles[name][i] for name in columns for i in range(3)}
-    )
+    wide = wide.withColumn("_quartiles", quartiles).select("*", "_quartiles.*")
     rows = F.array(
         *(
             F.struct(

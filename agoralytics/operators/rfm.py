@@ -13,17 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agoralytics.functions.ranking import with_position
+from agoralytics.functions.ranking import ntile_ends, quantile_ends, with_tiles
 from agoralytics.functions.scalars import (
     MONEY,
     calendar_days,
+    cents,
     elapsed_days,
     first_match,
     mean,
     money,
     percent,
-    quantile_bin,
-    tile_number,
 )
 from agoralytics.operators.common import DELIVERED, payment_per_order, with_status
 from agoralytics.plans.staging import staged
@@ -94,27 +93,39 @@ def customer_rfm_raw(
     )
 
 
+# Where a customer without a value goes when customers are put in order.
+_FIRST, _LAST = -(1 << 62), 1 << 62
+
+
+def _ordered(value: Column, missing: int) -> Column:
+    return F.coalesce(value.cast("bigint"), F.lit(missing).cast("bigint"))
+
+
 def rfm_scores(rfm_raw: DataFrame, n: int = SCORE_LEVELS) -> DataFrame:
-    """NTILE scores: the latest buyers and the highest spenders get ``n``."""
-    place, total = F.col("position"), F.col("total_rows")
-    by_recency = with_position(
-        rfm_raw, [F.desc("recency_days"), F.asc("customer_unique_id")], label="recency"
-    )
-    scored = by_recency.withColumn("r_score", tile_number(place, total, n)).drop(place, total)
-    by_spend = with_position(
-        scored, [F.asc("monetary_spend"), F.asc("customer_unique_id")], label="spend"
-    )
-    return by_spend.select(
-        *rfm_raw.columns,
-        "r_score",
-        _frequency_score("frequency_orders").alias("f_score"),
-        tile_number(place, total, n).alias("m_score"),
+    """NTILE scores: the latest buyers and the highest spenders get ``n``.
+
+    Longest ago first and, for spend, lowest first; customers without a value come last by
+    recency and first by spend. Only the last customer of each tile is looked for.
+    """
+    orders = {
+        "r_score": _ordered(-F.col("recency_days"), _LAST),
+        "m_score": _ordered(cents("monetary_spend"), _FIRST),
+    }
+    return with_tiles(rfm_raw, "customer_unique_id", orders, n, ntile_ends).select(
+        *rfm_raw.columns, "r_score", _frequency_score("frequency_orders").alias("f_score"), "m_score"
     )
 
 
-def scored_customers(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
-    """The scores behind the three results below; compute once when several are wanted."""
-    return rfm_scores(customer_rfm_raw(orders, customers, payments))
+def scored_customers(
+    orders: DataFrame, customers: DataFrame, payments: DataFrame, live: bool = False
+) -> DataFrame:
+    """The scores behind the three results below; compute once when several are wanted.
+
+    The search for the ends of tiles reads the customers several times, so they are written
+    once, one row each; where the result must follow the tables, ``live``, they are not.
+    """
+    raw = customer_rfm_raw(orders, customers, payments)
+    return rfm_scores(raw if live else staged(raw, "customers"))
 
 
 def label_customers(scores: DataFrame) -> DataFrame:
@@ -159,15 +170,15 @@ def summarise_segments(scores: DataFrame) -> DataFrame:
 
 
 def rfm_customer_segments(
-    orders: DataFrame, customers: DataFrame, payments: DataFrame
+    orders: DataFrame, customers: DataFrame, payments: DataFrame, live: bool = False
 ) -> DataFrame:
-    return label_customers(scored_customers(orders, customers, payments))
+    return label_customers(scored_customers(orders, customers, payments, live))
 
 
 def rfm_top100(
-    orders: DataFrame, customers: DataFrame, payments: DataFrame, k: int = 100
+    orders: DataFrame, customers: DataFrame, payments: DataFrame, k: int = 100, live: bool = False
 ) -> DataFrame:
-    return top_spenders(scored_customers(orders, customers, payments), k)
+    return top_spenders(scored_customers(orders, customers, payments, live), k)
 
 
 def rfm_segment_summary_sql(
@@ -180,14 +191,9 @@ def rfm_pandas(
     orders: DataFrame, customers: DataFrame, payments: DataFrame, status: str = DELIVERED
 ) -> DataFrame:
     """Notebook model: recency, frequency, monetary, scores, code and seven-label segment."""
-    # The reference date is the maximum of this very frame: stage it, so that
-    # the joins run once and the maximum reads a single column.
-    people = staged(
-        _per_customer(orders, customers, payments, status).filter(
-            F.col("customer_unique_id").isNotNull()
-        ),
-        "customers",
-    )
+    known = _per_customer(orders, customers, payments, status).filter(F.col("customer_unique_id").isNotNull())
+    # one row per customer, read for the latest purchase, for the ends of bins and for the result
+    people = staged(known, "customers")
     reference = people.agg(F.max("last_purchase")).scalar()
     base = people.select(
         "customer_unique_id",
@@ -196,21 +202,14 @@ def rfm_pandas(
         # a sum of nothing is zero in this model
         F.coalesce("spend", F.lit(0).cast("decimal(22,2)")).alias("monetary"),
     )
-    place, total = F.col("position"), F.col("total_rows")
-    bin_no = quantile_bin(place, total, SCORE_LEVELS)
-    by_recency = with_position(
-        base, [F.asc("recency"), F.asc("customer_unique_id")], label="recency"
-    )
-    scored = by_recency.withColumn("r_score", SCORE_LEVELS + 1 - bin_no).drop(place, total)
-    by_spend = with_position(
-        scored, [F.asc("monetary"), F.asc("customer_unique_id")], label="spend"
-    )
+    ranks = {"_by_recency": _ordered(F.col("recency"), _FIRST), "_by_spend": _ordered(cents("monetary"), _FIRST)}
     return (
-        by_spend.select(
+        with_tiles(base, "customer_unique_id", ranks, SCORE_LEVELS, quantile_ends)
+        .select(
             *base.columns,
-            "r_score",
+            (SCORE_LEVELS + 1 - F.col("_by_recency")).alias("r_score"),
             _frequency_score("frequency").alias("f_score"),
-            bin_no.alias("m_score"),
+            F.col("_by_spend").alias("m_score"),
         )
         .withColumn("rfm_code", _rfm_code())
         .withColumn("customer_segment", segment(True))

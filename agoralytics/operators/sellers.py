@@ -18,7 +18,6 @@ from agoralytics.functions.scalars import (
     require_money,
 )
 from agoralytics.operators.common import score_per_order
-from agoralytics.plans.staging import staged
 
 # Reported ranks and cumulative revenue marks.
 MILESTONE_RANKS = (1, 10, 50, 100, 500, 1000)
@@ -52,7 +51,6 @@ def seller_pareto(
         total="total_sellers",
         running="running_gmv",
         grand="grand_total_gmv",
-        label="sellers",
     )
     running, grand = F.col("running_gmv"), F.col("grand_total_gmv")
     at_rank = F.col("seller_rank").isin(*ranks)
@@ -102,12 +100,10 @@ def top20_sellers(
         )
         .join(sellers.select("seller_id", "seller_state", "seller_city"), "seller_id")
     )
-    # seller grain: staged once, then read for the total and for the leaders
-    known = staged(per_seller, "seller-sales")
-    total = known.agg(F.sum("seller_gmv")).scalar()
+    total = per_seller.agg(F.sum("seller_gmv")).scalar()
     gmv = F.col("seller_gmv")
     return (
-        known.orderBy(F.desc("seller_gmv"), "seller_id")
+        per_seller.orderBy(F.desc("seller_gmv"), "seller_id")
         .limit(k)
         .select(
             "seller_id",

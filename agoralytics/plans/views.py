@@ -1,8 +1,8 @@
 """The named views: a registry of builders, published as temporary views.
 
-A view that needs a global order holds a staged snapshot taken when it is
-published; the others are expanded lazily whenever they are queried. Publishing
-again refreshes a view in place.
+Every view is a plan over its tables and is expanded whenever it is queried, also those that
+need a global order. Rows appended to catalog tables by the same session show at once; files
+that others add show after ``REFRESH TABLE`` of the view. Nothing is written or run on publishing.
 """
 
 from __future__ import annotations
@@ -44,12 +44,12 @@ VIEWS: dict[str, Builder] = {
     "vw_delay_review_impact": _of(logistics.delay_review_impact, "orders", "order_reviews"),
     "vw_cohort_retention_counts": _of(cohorts.cohort_retention_counts, *_BUYING),
     "vw_cohort_retention_pct": _of(cohorts.cohort_retention_pct, *_BUYING),
-    "vw_rfm_top100": _of(rfm.rfm_top100, *_PAYING),
+    "vw_rfm_top100": _of(rfm.rfm_top100, *_PAYING, live=True),
     "vw_seller_pareto": _of(sellers.seller_pareto, *_SELLING),
     "vw_top20_sellers": _of(sellers.top20_sellers, *_SELLING, "order_reviews"),
     "vw_order_master": _of(masters.order_master, *_BUYING, "order_reviews"),
     "vw_order_item_details": _of(masters.order_item_details, "order_items", *_LABELS, "sellers"),
-    "vw_rfm_customer_segments": _of(rfm.rfm_customer_segments, *_PAYING),
+    "vw_rfm_customer_segments": _of(rfm.rfm_customer_segments, *_PAYING, live=True),
     "vw_cohort_retention": _of(cohorts.cohort_retention, *_BUYING),
 }
 
@@ -71,24 +71,11 @@ def publish_tables(tables: Tables) -> list[str]:
     return names
 
 
-# Views drawn from the same customer scores.
-_FROM_SCORES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "vw_rfm_customer_segments": rfm.label_customers,
-    "vw_rfm_top100": rfm.top_spenders,
-}
-
-
 def publish_views(tables: Tables, names: Iterable[str] | None = None) -> list[str]:
-    """Publish the named views, all of them by default. Customers are scored once for all."""
+    """Publish the named views, all of them by default."""
     chosen = list(VIEWS if names is None else names)
-    scores = None
     for name in chosen:
-        if name in _FROM_SCORES:
-            if scores is None:
-                scores = rfm.scored_customers(*(tables[t] for t in _PAYING))
-            publish_view(name, _FROM_SCORES[name](scores))
-        else:
-            publish_view(name, VIEWS[name](tables))
+        publish_view(name, VIEWS[name](tables))
     return chosen
 
 

@@ -6,8 +6,16 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from agoralytics.functions.ranking import exact_quantiles, with_position, with_running_total
-from agoralytics.functions.scalars import tile_number
+from agoralytics.functions.ranking import (
+    exact_quantiles,
+    magnitude,
+    ntile_ends,
+    quantile_ends,
+    with_position,
+    with_running_total,
+    with_tiles,
+)
+from agoralytics.functions.scalars import quantile_bin, tile_number
 
 
 @pytest.fixture(scope="module", params=["ties", "one_value", "tiny", "empty"])
@@ -81,9 +89,30 @@ def test_running_total_of_the_small_example(spark):
 
 def test_exact_quantiles(frame):
     points = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
-    got = exact_quantiles(frame, "v", "name", points).first()
+    got = exact_quantiles(frame, "v", points).first()
     expected = frame.agg(F.percentile("v", list(points))).first()[0]
     if expected is None:
         assert all(v is None for v in got)
     else:
         assert list(got) == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("kind", ["text", "number"])
+def test_tiles_equal_plain_windows(frame, kind):
+    name = F.concat(F.lit("customer_number_"), "name") if kind == "text" else F.col("name").cast("bigint")
+    named = frame.select(name.alias("name"), "v")
+    number = (F.col("v") * 100).cast("bigint")
+    got = with_tiles(named, "name", {"up": number, "down": -number}, 4, ntile_ends)
+    up, down = Window.orderBy("v", "name"), Window.orderBy(F.desc("v"), "name")
+    tiles = named.select("name", F.ntile(4).over(up).alias("up"), F.ntile(4).over(down).alias("down"))
+    assert as_set(got, "name", "up", "down") == as_set(tiles, "name", "up", "down")
+    got = with_tiles(named, "name", {"bin": number}, 4, quantile_ends)
+    bins = quantile_bin(F.row_number().over(up), F.count("v").over(Window.partitionBy()), 4)
+    assert as_set(got, "name", "bin") == as_set(named.select("name", bins.alias("bin")), "name", "bin")
+
+
+def test_magnitudes_never_fall(spark):
+    values = [-1e300, -5e9, -3.0, -1.0001, -1.0, -1e-9, 0.0, 1e-300, 0.01, 0.99, 1.0, 1.01, 7.0, 7.01, 1e4, 1e18]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(magnitude(F.col("v"))).collect()]
+    assert got == sorted(got) and len(set(got)) > 13
