@@ -112,7 +112,7 @@ def _id_range(codes: Sequence[Column], tie: str, bounded: DataFrame) -> Column:
     return F.coalesce(F.when(F.col(tie).isNull(), F.lit(-1)).otherwise(chain.otherwise(0)), F.lit(0)).cast("bigint")
 
 
-def _value_starts(counted: DataFrame, keys: Sequence[str], value: str, ascending: bool, sums: Sequence[str]) -> DataFrame:
+def value_starts(counted: DataFrame, keys: Sequence[str], value: str, ascending: bool, sums: Sequence[str]) -> DataFrame:
     """``counted`` (one row per ``keys`` and value) with the sums of ``sums`` before each value and over all.
 
     Sums go by magnitude first; the running sum over magnitudes sees a table of bounded length.
@@ -151,7 +151,7 @@ def order_statistics(
     """
     codes = [] if tie is None else _id_codes(rows, tie)
     counted = rows.groupBy(series, value).agg(F.count(F.lit(1)).alias("_n"), *_code_bounds(codes))
-    placed = _value_starts(counted.select(series, value, "_n"), [series], value, True, ["_n"])
+    placed = value_starts(counted.select(series, value, "_n"), [series], value, True, ["_n"])
     picks = placed.select("*", F.posexplode(F.array(*positions(F.col("all_n")))).alias("pick", "_at"))
     inside = (F.col("_at") > F.col("before_n")) & (F.col("_at") <= F.col("before_n") + F.col("_n"))
     if tie is None:
@@ -237,7 +237,7 @@ def with_running_total(
     """
     codes = _id_codes(df, tie)
     counted = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_sum"), *_code_bounds(codes))
-    values = _value_starts(counted.select(by, "_n", "_sum"), [], by, False, ["_n", "_sum"])
+    values = value_starts(counted.select(by, "_n", "_sum"), [], by, False, ["_n", "_sum"])
     ranged = df.withColumn("_id_part", _id_range(codes, tie, counted))
     per_range = ranged.groupBy(by, "_id_part").agg(F.count(F.lit(1)).alias("_rows"))
     in_turn = Window.partitionBy(by).orderBy("_id_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -86,13 +86,58 @@ def _chi_square_upper(x: float, df: int) -> float:
     return total
 
 
+EXACT_GROUP = 8  # the smaller group up to which rank sums without ties are counted exactly
+
+
+def _rank_sum_upper(u: int, small: int, large: int) -> float:
+    """Share of the arrangements of two groups without ties whose U is at least ``u``.
+
+    U's counts are the coefficients of the product of ``(1 - q^(large+i)) / (1 - q^i)`` for i up
+    to ``small``. With every denominator brought to ``1 - q^L``, L a common multiple, a sum of
+    coefficients is a sum of binomials: exact, and as fast for a billion values as for ten.
+    """
+    most = small * large - u  # by symmetry as many arrangements lie at or below this
+    if most < 0:
+        return 0.0
+    common = math.lcm(*range(1, small + 1))
+    # a last factor 1 / (1 - q) adds up the coefficients
+    numerator = [1]
+    for step in [1, *range(1, small + 1)]:
+        spread = [0] * (len(numerator) + common - step)
+        for start in range(0, common, step):
+            for k, ways in enumerate(numerator):
+                spread[start + k] += ways
+        numerator = spread
+    shifts = {0: 1}
+    for i in range(1, small + 1):
+        moved = dict(shifts)
+        for at, sign in shifts.items():
+            moved[at + large + i] = moved.get(at + large + i, 0) - sign
+        shifts = moved
+    count = 0
+    for at, sign in shifts.items():
+        left = most - at
+        if left < 0 or not sign:
+            continue
+        for k in range(left % common, min(left + 1, len(numerator)), common):
+            count += sign * numerator[k] * math.comb((left - k) // common + small, small)
+    return count / math.comb(small + large, small)
+
+
 def _unknown(*values) -> bool:
     return any(pd.isna(v) for v in values)
 
 
 @F.pandas_udf(T.DoubleType())
-def normal_upper_tail(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: math.nan if _unknown(v) else _normal_upper(v))
+def rank_sum_upper_tail(z: pd.Series, u: pd.Series, n1: pd.Series, n2: pd.Series, exact: pd.Series) -> pd.Series:
+    """Exact where ``exact`` says so, which bounds the smaller group; else the normal tail of ``z``."""
+    return pd.Series(
+        [
+            math.nan if _unknown(*row[:4]) or not min(row[2:4]) else
+            _rank_sum_upper(int(row[1]), int(min(row[2:4])), int(max(row[2:4]))) if row[4] else _normal_upper(row[0])
+            for row in zip(z, u, n1, n2, exact)
+        ]
+    )
 
 
 @F.pandas_udf(T.DoubleType())

@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agoralytics.functions.ranking import value_starts
 from agoralytics.functions.scalars import cut, elapsed_days, percent
 from agoralytics.functions.tails import (
+    EXACT_GROUP,
     chi_square_upper_tail,
-    normal_upper_tail,
+    rank_sum_upper_tail,
     student_two_sided,
 )
 from agoralytics.operators.common import DELIVERED, label_rows, with_status
@@ -295,34 +297,43 @@ def mann_whitney_u(
     alternative: str = "less",
     first: str = DELAYED,
     second: str = PUNCTUAL,
+    method: str = "auto",
 ) -> DataFrame:
-    """U of the first group; p by the normal limit with tie and continuity corrections.
+    """U of the first group; p from the exact null distribution or by the normal limit.
 
-    ``value`` is a rating: ranks come from the counts per distinct value, a table
-    as long as the rating scale.
+    Without ties, and with at most 8 values in the smaller group, p counts all arrangements of
+    the ranks; else it is the normal limit with tie and continuity corrections. ``method``
+    ``asymptotic`` takes the limit always; ``z`` is that of the limit in either case.
+
+    ``value`` is any number, of any count of distinct values: they are counted, the counts summed by
+    magnitude, and only the values of one magnitude are put in order together. NULL and NaN do
+    not count. A group without values leaves p NULL.
     """
+    if method not in ("auto", "asymptotic"):
+        raise ValueError(f"unknown method: {method}")
     mine, theirs = (F.count_if(F.col(group) == label) for label in (first, second))
+    number = F.col(value)
     per_value = (
-        frame.filter(F.col(value).isNotNull() & F.col(group).isin(first, second))
-        .groupBy(value)
+        frame.filter(number.isNotNull() & ~F.isnan(number.cast("double")) & F.col(group).isin(first, second))
+        .groupBy(number.alias("value"))
         .agg(mine.cast("double").alias("mine"), theirs.cast("double").alias("theirs"))
     )
-    below = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ties = F.col("mine") + F.col("theirs")
-    summed = per_value.select(
-        "mine",
-        "theirs",
-        # a pair counts when mine is above theirs, half when equal
-        (
-            F.col("mine")
-            * (F.coalesce(F.sum("theirs").over(below), F.lit(0.0)) + F.col("theirs") / 2)
-        ).alias("wins"),
-        (ties * ties * ties - ties).alias("tied"),
-    ).agg(
-        F.sum("mine").alias("n1"),
-        F.sum("theirs").alias("n2"),
-        F.sum("wins").alias("u_statistic"),
-        F.sum("tied").alias("tied"),
+    summed = (
+        value_starts(per_value, [], "value", True, ["theirs"])
+        .select(
+            "mine",
+            "theirs",
+            # a pair counts when mine is above theirs, half when equal
+            (F.col("mine") * (F.col("beforetheirs") + F.col("theirs") / 2)).alias("wins"),
+            (ties * ties * ties - ties).alias("tied"),
+        )
+        .agg(
+            F.sum("mine").alias("n1"),
+            F.sum("theirs").alias("n2"),
+            F.sum("wins").alias("u_statistic"),
+            F.sum("tied").alias("tied"),
+        )
     )
     n1, n2, u = F.col("n1"), F.col("n2"), F.col("u_statistic")
     n = n1 + n2
@@ -330,9 +341,11 @@ def mann_whitney_u(
     other = n1 * n2 - u
     larger = {"less": other, "greater": u, "two-sided": F.greatest(u, other)}[alternative]
     sides = 2.0 if alternative == "two-sided" else 1.0
+    exact = (F.col("tied") == 0) & (F.least(n1, n2) <= EXACT_GROUP) & F.lit(method == "auto")
     return (
         summed.withColumn("z", F.try_divide(larger - n1 * n2 / 2 - 0.5, deviation))
-        .withColumn("p_value", F.least(normal_upper_tail("z") * sides, F.lit(1.0)))
+        .withColumn("tail", rank_sum_upper_tail("z", larger, n1, n2, exact))
+        .withColumn("p_value", F.when(F.col("tail").isNotNull(), F.least(F.col("tail") * sides, F.lit(1.0))))
         .select(n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"), u, "z", "p_value")
     )
 
@@ -340,45 +353,52 @@ def mann_whitney_u(
 def chi_square_test(
     frame: DataFrame, rows: str = "delivery_status", cols: str = "review_score"
 ) -> DataFrame:
-    """Independence of two categories; Yates' correction for a 2 × 2 table only."""
+    """Independence of two categories; Yates' correction for a 2 × 2 table only.
+
+    Expected counts come from the table's margins, joined to its cells, so either side may have
+    any number of categories. Rows in which one is NULL do not count.
+    """
     cells = (
         frame.filter(F.col(rows).isNotNull() & F.col(cols).isNotNull())
-        .groupBy(rows, cols)
+        .groupBy(F.col(rows).alias("_row"), F.col(cols).alias("_col"))
         .agg(F.count(F.lit(1)).cast("double").alias("seen"))
     )
-    # windows over the cells of the table, not over the data
-    row_sum = F.sum("seen").over(Window.partitionBy(rows))
-    col_sum = F.sum("seen").over(Window.partitionBy(cols))
-    total = F.sum("seen").over(Window.partitionBy())
-    table = cells.select(
-        rows, cols, "seen", row_sum.alias("r"), col_sum.alias("c"), total.alias("total")
-    ).withColumn("expected", F.col("r") * F.col("c") / F.col("total"))
+    across = cells.groupBy("_row").agg(F.sum("seen").alias("r"))
+    down = cells.groupBy("_col").agg(F.sum("seen").alias("c"))
+
+    def margin(sums: DataFrame, name: str) -> Column:
+        parts = (f(name).alias(part) for part, f in (("kinds", F.count), ("total", F.sum), ("lo", F.min), ("hi", F.max)))
+        return sums.agg(F.struct(*parts)).scalar()
+
+    expected = F.col("r") * F.col("c") / F.col("sides.r.total")
     gap = F.col("seen") - F.col("expected")
-    summed = table.agg(
-        F.count_distinct(rows).alias("row_kinds"),
-        F.count_distinct(cols).alias("col_kinds"),
-        F.max("total").alias("total"),
-        F.sum(gap * gap / F.col("expected")).alias("seen_part"),
-        F.sum("expected").alias("seen_expected"),
-        F.max(F.abs(gap)).alias("gap"),
-        F.min("r").alias("r_lo"),
-        F.max("r").alias("r_hi"),
-        F.min("c").alias("c_lo"),
-        F.max("c").alias("c_hi"),
+    sides = F.struct(margin(across, "r").alias("r"), margin(down, "c").alias("c"))
+    summed = (
+        cells.join(across, "_row")
+        .join(down, "_col")
+        .withColumn("sides", sides)
+        .withColumn("expected", expected)
+        .agg(
+            F.max("sides").alias("sides"),
+            F.sum(gap * gap / F.col("expected")).alias("seen_part"),
+            F.sum("expected").alias("seen_expected"),
+            F.max(F.abs(gap)).alias("gap"),
+        )
     )
-    degrees = (F.col("row_kinds") - 1) * (F.col("col_kinds") - 1)
+    total = F.col("sides.r.total")
+    degrees = (F.col("sides.r.kinds") - 1) * (F.col("sides.c.kinds") - 1)
     # cells never seen contribute their expected count
-    plain = F.col("seen_part") + (F.col("total") - F.col("seen_expected"))
+    plain = F.col("seen_part") + (total - F.col("seen_expected"))
     # in a 2 × 2 table all four gaps are equal
     shrunk = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))
     inverse = (
-        F.col("total")
-        * (1 / F.col("r_lo") + 1 / F.col("r_hi"))
-        * (1 / F.col("c_lo") + 1 / F.col("c_hi"))
+        total
+        * (1 / F.col("sides.r.lo") + 1 / F.col("sides.r.hi"))
+        * (1 / F.col("sides.c.lo") + 1 / F.col("sides.c.hi"))
     )
     return (
         summed.select(
-            F.col("total").cast("bigint").alias("n"),
+            total.cast("bigint").alias("n"),
             degrees.alias("degrees_of_freedom"),
             F.when(degrees == 1, shrunk * shrunk * inverse).otherwise(plain).alias("chi_square"),
         )

@@ -7,10 +7,13 @@ import math
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
+from agoralytics.functions.ranking import magnitude
 from agoralytics.functions.tails import (
     _chi_square_upper,
     _normal_upper,
+    _rank_sum_upper,
     _student_two_sided,
 )
 from agoralytics.operators import hypothesis as h
@@ -190,3 +193,104 @@ def test_scores_outside_the_scale_are_counted(spark):
     assert [(r.score_1, r.score_other) for r in counts] == [(1, 2), (0, 0)]
     shares = [r for r in h.review_share_by_status(frame).collect() if r.delivery_status == "Late"]
     assert all(abs(sum(v for k, v in r.asDict().items() if k != "delivery_status") - 100) < 1e-9 for r in shares)
+
+
+def _enumerated_upper(u: int, small: int, large: int) -> float:
+    """P(U >= u) from every choice of ranks for the first group."""
+    wins = [sum(r - k for k, r in enumerate(chosen)) for chosen in itertools.combinations(range(small + large), small)]
+    return sum(w >= u for w in wins) / len(wins)
+
+
+@pytest.mark.parametrize(("small", "large"), [(1, 1), (1, 6), (2, 5), (3, 3), (4, 7), (6, 6), (8, 9)])
+def test_rank_sum_counts_all_arrangements(small, large):
+    for u in range(small * large + 2):
+        assert _rank_sum_upper(u, small, large) == pytest.approx(_enumerated_upper(u, small, large), abs=1e-15)
+
+
+def test_rank_sum_of_a_few_against_a_billion():
+    assert _rank_sum_upper(10**9 // 4, 1, 10**9) == pytest.approx(0.75)
+    # the largest of eight uniform shares: P(all eight above t) tends to the sum's tail at its centre
+    assert _rank_sum_upper(4 * 10**9, 8, 10**9) == pytest.approx(0.5, abs=1e-8)
+
+
+@pytest.mark.parametrize("alternative", ["less", "greater", "two-sided"])
+def test_small_untied_samples_use_the_exact_distribution(spark, alternative):
+    mine, theirs = [1.5, 2.25, 9.0, -4.0], [3.0, 8.0, 2.0, 11.0, 7.5]
+    rows = [(h.DELAYED, v) for v in mine] + [(h.PUNCTUAL, v) for v in theirs]
+    rows += [(h.DELAYED, None), (h.PUNCTUAL, math.nan), (None, 1.0), ("other", 2.0)]
+    frame = spark.createDataFrame(rows, "delivery_status string, review_score double")
+    row = h.mann_whitney_u(frame, alternative=alternative).first()
+    u = sum(a > b for a in mine for b in theirs)
+    other = 20 - u
+    larger = {"less": other, "greater": u, "two-sided": max(u, other)}[alternative]
+    p = _enumerated_upper(larger, 4, 5) * (2 if alternative == "two-sided" else 1)
+    assert (row.n1, row.n2, row.u_statistic) == (4, 5, u)
+    assert row.p_value == pytest.approx(min(p, 1.0))
+    limit = h.mann_whitney_u(frame, alternative=alternative, method="asymptotic").first()
+    deviation = math.sqrt(20 * 10 / 12)
+    sides = 2 if alternative == "two-sided" else 1
+    assert limit.p_value == pytest.approx(min(1.0, sides * _normal_upper((larger - 10 - 0.5) / deviation)))
+    with pytest.raises(ValueError):
+        h.mann_whitney_u(frame, method="guess")
+
+
+def test_a_tie_brings_back_the_normal_limit(spark):
+    rows = [(h.DELAYED, v) for v in (1.0, 2.0)] + [(h.PUNCTUAL, v) for v in (2.0, 3.0, 4.0)]
+    frame = spark.createDataFrame(rows, "delivery_status string, review_score double")
+    both = [h.mann_whitney_u(frame, method=m).first() for m in ("auto", "asymptotic")]
+    assert both[0] == both[1] and both[0].u_statistic == 0.5
+
+
+def test_u_without_values_or_without_a_group(spark):
+    schema = "delivery_status string, review_score double"
+    assert h.mann_whitney_u(spark.createDataFrame([], schema)).first().p_value is None
+    one_sided = spark.createDataFrame([(h.DELAYED, 1.0), (h.DELAYED, 2.0)], schema)
+    row = h.mann_whitney_u(one_sided).first()
+    assert (row.n1, row.n2, row.p_value) == (2, 0, None)
+
+
+def test_u_of_many_distinct_values_sees_no_window_over_all(spark):
+    n = 200_000
+    # values spread over both signs; every third repeats across the groups
+    value = F.when(F.col("id") % 3 == 0, F.col("id") % 1000).otherwise(F.sin(F.col("id").cast("double")) * F.col("id"))
+    status = F.when(F.hash("id") % 2 == 0, h.DELAYED).otherwise(h.PUNCTUAL)
+    frame = spark.range(n).select(status.alias("delivery_status"), value.alias("review_score"))
+    got = h.mann_whitney_u(frame).first()
+    counts = {}
+    for r in frame.collect():
+        counts.setdefault(r.review_score, [0, 0])[r.delivery_status == h.PUNCTUAL] += 1
+    u = below = 0.0
+    for v in sorted(counts):
+        u += counts[v][0] * (below + counts[v][1] / 2)
+        below += counts[v][1]
+    assert got.u_statistic == u and len(counts) > 100_000
+    # values are ordered inside a magnitude; the largest is a small part of them
+    numbers = frame.select("review_score").distinct()
+    largest = numbers.groupBy(magnitude(F.col("review_score")).alias("m")).count().agg(F.max("count")).first()[0]
+    assert largest < len(counts) / 50
+
+
+def test_chi_square_with_many_categories(spark):
+    n, kinds = 60_000, 9_000
+    frame = spark.range(n).select(
+        (F.hash("id") % 7).cast("string").alias("delivery_status"), (F.xxhash64("id") % kinds).alias("review_score")
+    )
+    got = h.chi_square_test(frame).first()
+    seen, r, c = {}, {}, {}
+    for row in frame.collect():
+        a, b = row
+        seen[a, b] = seen.get((a, b), 0) + 1
+        r[a] = r.get(a, 0) + 1
+        c[b] = c.get(b, 0) + 1
+    plain = n * (sum(x * x / (r[a] * c[b]) for (a, b), x in seen.items()) - 1)
+    assert (got.n, got.degrees_of_freedom) == (n, (len(r) - 1) * (len(c) - 1))
+    assert got.chi_square == pytest.approx(plain)
+    plan = h.chi_square_test(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_chi_square_ignores_clashing_names_and_missing_categories(spark):
+    rows = [("a", "x", 1), ("a", "y", 2), ("b", "x", 3), ("b", "y", 4), ("b", "y", 5), (None, "x", 6), ("a", None, 7)]
+    frame = spark.createDataFrame(rows, "seen string, r string, c int")
+    got = h.chi_square_test(frame, "seen", "r").first()
+    assert (got.n, got.degrees_of_freedom) == (5, 1)
