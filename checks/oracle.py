@@ -564,6 +564,19 @@ EXPECTED: dict[str, tuple[str, ...]] = {
         "FROM m_order_payments WHERE order_id % 97 = 0",
         "order_id:s payment_sequential:i payment_type:s payment_installments:i payment_value:d2 raw_line:s",
     ),
+    "load_table": (
+        "SELECT 'order_payments' AS table_name, COUNT(*) AS lines, "
+        "COUNT(*) FILTER (WHERE order_id % 97 <> 0) AS loaded, "
+        "COUNT(*) FILTER (WHERE order_id % 97 = 0) AS rejected FROM m_order_payments",
+        "table_name:s lines:i loaded:i rejected:i",
+    ),
+    "removed_rows": (
+        "SELECT 'repeated key' AS removal_reason, COUNT(*) AS removed_rows, COUNT(*) AS later_copies "
+        "FROM m_orders WHERE order_id % 89 = 0 HAVING COUNT(*) > 0 UNION ALL "
+        # the first row without an id stays
+        "SELECT 'missing key', COUNT(*) - 1, 0 FROM m_orders WHERE order_id % 83 = 0 HAVING COUNT(*) > 1",
+        "removal_reason:s removed_rows:i later_copies:i",
+    ),
     "write_rfm_output": _RFM_FILE,
     "write_segment_summary": _SUMMARY,
     "export_view": _GROWTH,

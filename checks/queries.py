@@ -72,20 +72,44 @@ def _read_back(name: str, reader: Callable[[SparkSession, str], DataFrame]) -> Q
     return _query(lambda t: reader(t[name].sparkSession, _as_csv(t[name])))
 
 
-def _rejected(t: Tables) -> DataFrame:
-    payments = t["order_payments"]
-    spoiled = payments.withColumn(
+def _spoiled_payments(t: Tables) -> str:
+    spoiled = t["order_payments"].withColumn(
         "payment_installments",
         F.when(F.col("order_id") % 97 == 0, F.lit("unknown")).otherwise(
             F.col("payment_installments").cast("string")
         ),
     )
+    return _as_csv(spoiled)
+
+
+def _rejected(t: Tables) -> DataFrame:
     bad = tables.rejected_rows(
-        payments.sparkSession, _as_csv(spoiled), TABLES["order_payments"].schema
+        t["order_payments"].sparkSession, _spoiled_payments(t), TABLES["order_payments"].schema
     )
     return bad.withColumnRenamed(tables.REJECTED, "raw_line")
 
 
+def _loaded(t: Tables) -> DataFrame:
+    spark = t["order_payments"].sparkSession
+    return tables.load_table(spark, "order_payments", _spoiled_payments(t), fresh_path(spark, "loaded")).counts
+
+
+def _removed(t: Tables) -> DataFrame:
+    """All orders, then some again under another status, then some without their id: read, loaded, and what was left out."""
+    orders = t["orders"]
+    spark = orders.sparkSession
+    again = orders.where(F.col("order_id") % 89 == 0).withColumn("order_status", F.lit("copy"))
+    nameless = orders.where(F.col("order_id") % 83 == 0).withColumn("order_id", F.lit(None).cast("bigint"))
+    read = tables.read_orders(spark, _as_csv(orders.unionByName(again).unionByName(nameless)))
+    removed_dir = fresh_path(spark, "removed")
+    tables.materialize_tables({"orders": read}, fresh_path(spark, "typed"), removed_dir)
+    return (
+        tables.removed_rows(spark, "orders", removed_dir)
+        .groupBy("removal_reason")
+        .agg(F.count(F.lit(1)).alias("removed_rows"), F.count_if(F.col("order_status") == "copy").alias("later_copies"))
+    )
+
+
 def _cleaned_endings(t: Tables) -> DataFrame:
     crlf = t["sellers"].withColumn("seller_state", F.concat("seller_state", F.lit("\r")))
     return tables.line_ending_cleanup(crlf)
@@ -226,6 +250,8 @@ QUERIES: dict[str, Query] = {
     "line_ending_cleanup": _query(_cleaned_endings),
     "materialize_tables": _query(_materialized),
     "rejected_rows": _query(_rejected),
+    "load_table": _query(_loaded),
+    "removed_rows": _query(_removed),
     "write_rfm_output": _query(_rfm_file),
     "write_segment_summary": _query(_summary_file),
     "export_view": _query(_exported),

@@ -239,3 +239,68 @@ def test_rejected_rows_can_be_counted(spark, tmp_path, multiline):
     assert sorted(r.review_id for r in rejected.collect()) == ["r1", "r3"]
 
 
+
+
+SELLER_HEADER = ",".join(TABLES["sellers"].schema.names)
+
+
+@pytest.mark.parametrize("names", [("a.csv", "b.csv", "c.csv"), ("c.csv", "a.csv", "b.csv")])
+def test_the_first_row_goes_by_file_and_place_and_the_rest_is_reported(spark, tmp_path, names):
+    folder = tmp_path / "sellers"
+    folder.mkdir()
+    bodies = {
+        "a.csv": "s1,1,from a,SP\ns2,2,from a,SP\ns2,2,later in a,SP\n,3,nameless a,SP",
+        "b.csv": "s1,1,from b,SP\ns3,3,from b,SP",
+        "c.csv": "s1,1,from c,SP\n,4,nameless c,SP\ns4,4,from c,SP",
+    }
+    for name in names:
+        put(folder, f"{SELLER_HEADER}\n{bodies[name]}\n", name)
+    # the same survivors whatever the size of the parts in which files are read
+    for size in ("128MB", "40B"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            read = tables.read_sellers(spark, str(folder))
+            out = str(tmp_path / f"out{size}")
+            kept = tables.materialize_tables({"sellers": read}, out, f"{out}-removed")["sellers"]
+            removed = tables.removed_rows(spark, "sellers", f"{out}-removed")
+            assert sorted((r.seller_city, r.removal_reason) for r in removed.collect()) == [
+                ("from b", "repeated key"),
+                ("from c", "repeated key"),
+                ("later in a", "repeated key"),
+                ("nameless c", "missing key"),
+            ]
+            assert sorted(r.seller_city for r in kept.collect()) == [
+                "from a", "from a", "from b", "from c", "nameless a",
+            ]
+            assert kept.count() + removed.count() == read.count() == 9
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tables_without_repeats_remove_nothing(spark, tmp_path):
+    path = put(tmp_path, f"{SELLER_HEADER}\ns1,1,x,SP\ns2,2,y,SP\n")
+    kept, removed = tables.split_by_key(tables.read_sellers(spark, path), ("seller_id",))
+    assert kept.count() == 2 and removed.count() == 0 and removed.columns[-1] == "removal_reason"
+    made = spark.createDataFrame([("s1", 1), ("s1", 2)], "seller_id string, n int")  # not read from files
+    kept, removed = tables.split_by_key(made, ("seller_id",))
+    assert (kept.count(), removed.count()) == (1, 1)
+
+
+def test_one_scan_loads_and_counts(spark, tmp_path):
+    header = ",".join(TABLES["order_payments"].schema.names)
+    lines = [f"o{k},1,credit_card,{'many' if k % 10 == 0 else 2},5.00" for k in range(95)] + ["o99,1,boleto"]
+    path = put(tmp_path, "\n".join([header, *lines]) + "\n")
+    load = tables.load_table(spark, "order_payments", path, str(tmp_path / "loaded"))
+    assert tuple(load.counts.first()) == ("order_payments", 96, 85, 11)
+    assert load.rows.count() == 85 and load.rows.columns == TABLES["order_payments"].schema.names
+    bad = {r[tables.REJECTED] for r in load.rejected.collect()}
+    assert len(bad) == 11 and "o99,1,boleto" in bad
+    again = tables.rejected_rows(spark, path, TABLES["order_payments"].schema)
+    assert {r[tables.REJECTED] for r in again.collect()} == bad
+
+
+def test_loading_nothing_counts_nothing(spark, tmp_path):
+    path = put(tmp_path, ",".join(TABLES["sellers"].schema.names) + "\n")
+    load = tables.load_table(spark, "sellers", path, str(tmp_path / "loaded"))
+    assert tuple(load.counts.first()) == ("sellers", 0, 0, 0)
+    assert load.rows.count() == load.rejected.count() == 0
