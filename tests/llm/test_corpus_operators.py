@@ -487,7 +487,7 @@ def test_manifest_places_records_without_gaps(spark):
 
 
 def test_licences_of_notices_and_nearest_directory(spark):
-    apache, mit = licences.TEMPLATES["Apache-2.0"], licences.TEMPLATES["MIT"]
+    apache, mit = licences.TEMPLATES["Apache-2.0"][0], licences.TEMPLATES["MIT"][0]
     rows = [
         (1, "a/LICENSE", f"Notes.\n{mit}"),
         (2, "a/b/c/x.py", "plain"),
@@ -513,3 +513,88 @@ def test_licences_of_notices_and_nearest_directory(spark):
         (8, None, "none", None),
     ]
     assert licences.scan_licences(frame.limit(0)).count() == 0
+
+
+PROSE = "The committee met in spring and spoke of rivers, bridges and the cost of grain.\n" * 3
+COMMENTED = {
+    "spdx": "// SPDX-License-Identifier: Apache-2.0\n#include <x.h>\nint main() { return 0; }",
+    "choice": "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nimport os",
+    "inside": "A small parser. Released under the MIT License. It reads one file at a time and prints it.",
+    "mpl": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL "
+    "was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n\nvoid f();",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General "
+    "Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) "
+    "any later version.\n#\n# This program is distributed in the hope that it will be useful,\n\nx = 1",
+    "apache": ' * Copyright 2019 Somebody\n *\n * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not '
+    "use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n",
+    "bsd2": "// Copyright (c) 2020, A. N. Other\n//\n// " + licences.TEMPLATES["BSD-2-Clause"][0].replace(" 1. ", "\n//\n// 1. ")
+    .replace(" 2. ", "\n//\n// 2. ").replace(" THIS SOFTWARE", "\n//\n// THIS SOFTWARE", 1) + "\n\nint g();",
+    "bsd3": "BSD 3-Clause License\n\nCopyright (c) 2020\n\n" + licences.TEMPLATES["BSD-3-Clause"][1].replace(" 1. ", "\n\n1. ")
+    .replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ").replace(" THIS SOFTWARE", "\n\nTHIS SOFTWARE", 1),
+    "mit": "Copyright (c) 2021 A\n\n" + licences.TEMPLATES["MIT"][3].replace(" The above", "\n\nThe above", 1),
+    "gpl2": "            GNU GENERAL PUBLIC LICENSE\n               Version 2, June 1991\n\n Copyright (C) 1989, 1991\n\n" + PROSE,
+    "legal": "The licensee shall keep the premises in good repair. Any licence granted by the council may be withdrawn.\n"
+    "All rights reserved to the landlord under this agreement, and copyright in the drawings stays with the architect.",
+    "plain": PROSE,
+    "empty": "",
+}
+FOUND = {
+    "spdx": "Apache-2.0", "choice": "MIT OR Apache-2.0", "inside": "MIT", "mpl": "MPL-2.0", "gpl": "GPL-3.0",
+    "apache": "Apache-2.0", "bsd2": "BSD-2-Clause", "bsd3": "BSD-3-Clause", "mit": "MIT", "gpl2": "GPL-2.0",
+}
+
+
+def test_licence_headers_and_licence_files(spark):
+    rows = [(k, f"{name}/main.c", text) for k, (name, text) in enumerate(COMMENTED.items())]
+    rows += [(100 + k, f"file-{name}/LICENSE", text) for k, (name, text) in enumerate(COMMENTED.items())]
+    rows += [(200, "long/x.c", COMMENTED["mpl"] + "word " * 200_000), (201, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(frame).collect()}
+    assert len(got) == len(rows) and got[201].origin == "none" and got[200].licence == "MPL-2.0"
+    for k, name in enumerate(COMMENTED):
+        assert got[k].licence == FOUND.get(name), (name, got[k])
+        assert got[100 + k].licence == FOUND.get(name), (name, got[100 + k])
+    assert got[0].origin == "spdx" and got[2].origin == "notice"
+
+
+def test_licence_cosines_against_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    texts = [t for t in COMMENTED.values()]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = frame.select(F.explode(licences.statements(F.col("text"), F.lit(True))).alias("statement")).distinct()
+    parts = found.where("statement <> ''").withColumn("key", F.sha2("statement", 256)).cache()
+    got = {r.key: (r.licence, r.cosine) for r in licences.template_cosines(parts).collect()}
+
+    def bag(text):
+        return Counter(re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower()))
+
+    own = {r.key: bag(r.statement) for r in parts.collect()}
+    models = [(name, bag(t)) for name, ts in licences.TEMPLATES.items() for t in ts]
+    bags = [*own.values(), *(m for _, m in models)]
+    df = Counter(w for b in bags for w in b)
+
+    def weighted(b):
+        return {w: n * (math.log((1 + len(bags)) / (1 + df[w])) + 1) for w, n in b.items()}
+
+    def cosine(a, b):
+        dot = sum(x * b.get(w, 0.0) for w, x in a.items())
+        return dot / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    vectors = [(name, weighted(m)) for name, m in models]
+    assert len(own) > 30
+    for key, b in own.items():
+        best = max(cosine(weighted(b), m) for _, m in vectors)
+        if best > 0:
+            assert got[key][1] == pytest.approx(best, abs=1e-8)
+            assert max(cosine(weighted(b), m) for n, m in vectors if n == got[key][0]) == pytest.approx(best, abs=1e-8)
+        else:
+            assert key not in got
+
+
+def test_licence_scan_runs_without_python_workers(spark):
+    frame = spark.createDataFrame([(1, "a/b", "x")], "doc_id bigint, path string, text string")
+    plan = licences.scan_licences(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
