@@ -149,7 +149,7 @@ def statements(text: Column, whole: Column) -> Column:
 
 
 def template_cosines(parts: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES) -> DataFrame:
-    """``key, licence, cosine``: for ``parts(key, statement)``, one row a key, the nearest template.
+    """``key, licence, cosine``: for ``parts(key, statement)``, one row a binary key, the nearest template.
 
     Statements are words joined by spaces. Weights are term frequency times
     ``ln((1 + n) / (1 + df)) + 1`` over all statements and templates. Only words that a statement
@@ -160,17 +160,16 @@ def template_cosines(parts: DataFrame, templates: Mapping[str, Sequence[str]] =
     known = spark.createDataFrame(
         [(name, f"{name}/{k}", text) for name, texts in sorted(templates.items()) for k, text in enumerate(texts)],
         "licence string, key string, statement string",
-    )
-    texts = parts.select(F.lit(None).cast("string").alias("licence"), "key", F.split("statement", " ").alias("words")).union(
-        known.select("licence", "key", _words(F.col("statement")))
-    )
-    total = texts.count()
-    terms = staged(
-        texts.select("licence", "key", F.explode("words").alias("word"))
-        .groupBy("licence", "key", "word")
-        .agg(F.count(F.lit(1)).alias("tf")),
-        "licence-terms",
-    )
+    ).select("licence", F.col("key").cast("binary").alias("key"), _words(F.col("statement")).alias("words"))
+    own = parts.select(F.lit(None).cast("string").alias("licence"), "key", F.split("statement", " ").alias("words"))
+
+    def counted(texts: DataFrame) -> DataFrame:
+        words = texts.select("licence", "key", F.explode("words").alias("word"))
+        return words.groupBy("key", "word", "licence").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+    # counted apart, so that statements that lie apart by key already are not shuffled again
+    terms = staged(counted(own).union(counted(known)), "licence-terms")
+    total = terms.select("key").distinct().count()
     spread = terms.groupBy("word").agg(
         (F.log((1 + F.lit(total)) / (1 + F.count(F.lit(1)))) + 1).alias("idf")
     )
@@ -235,7 +234,7 @@ def scan_licences(
         "licence-files",
     )
     found = rows.where("spdx IS NULL").select("row", F.explode("parts").alias("statement")).where("statement <> ''")
-    found = found.withColumn("key", F.sha2("statement", 256))
+    found = found.withColumn("key", F.unhex(F.md5("statement")))
     nearest = template_cosines(found.select("key", "statement").dropDuplicates(["key"]), templates)
     first = F.min(F.struct((-F.col("cosine")).alias("minus"), "licence"))
     named = nearest.where(F.col("cosine") >= cosine)
