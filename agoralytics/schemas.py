@@ -138,3 +138,33 @@ FOREIGN_KEYS: tuple[tuple[str, str, str], ...] = (
     ("order_payments", "orders", "order_id"),
     ("order_reviews", "orders", "order_id"),
 )
+
+
+@dataclass(frozen=True)
+class KeyDomain:
+    """Columns that hold the same text key, and values the operators compare it with."""
+
+    places: tuple[tuple[str, str], ...]
+    fixed: tuple[str, ...] = ()
+
+
+TEXT_KEYS: dict[str, KeyDomain] = {
+    "order_status": KeyDomain((("orders", "order_status"),), ("delivered",)),
+    "payment_type": KeyDomain((("order_payments", "payment_type"),)),
+    "category": KeyDomain(
+        (("products", "product_category_name"), ("translation", "product_category_name"))
+    ),
+    "category_label": KeyDomain((("translation", "product_category_name_english"),)),
+    "state": KeyDomain(
+        (
+            ("customers", "customer_state"),
+            ("sellers", "seller_state"),
+            ("geolocation", "geolocation_state"),
+        )
+    ),
+}
+
+ID_KEYS: dict[str, KeyDomain] = {
+    key: KeyDomain(tuple((name, key) for name, spec in TABLES.items() if key in spec.schema.names))
+    for key in ("order_id", "customer_id", "customer_unique_id", "product_id", "seller_id")
+}

@@ -14,7 +14,7 @@ import re
 
 from agoralytics.schemas import FOREIGN_KEYS, TABLES
 from agoralytics.sources.sample_tables import DERIVED
-from checks.queries import COHORTS, GROWTH_MONTHS, PARETO_RANKS
+from checks.queries import COHORTS, GROWTH_MONTHS, PARETO_RANKS, VARIANT
 
 
 def _table_sql(name: str) -> str:
@@ -138,6 +138,33 @@ STEPS: dict[str, str] = {
         "SELECT p.product_id, p.product_category_name AS plain, t.product_category_name_english AS english "
         "FROM m_products p LEFT JOIN m_translation t USING (product_category_name)"
     ),
+    "x_products_any": (
+        "SELECT product_id, " + VARIANT.format(row="product_id", text="product_category_name") + " AS name FROM m_products"
+    ),
+    "x_customers_any": (
+        "SELECT customer_id, customer_unique_id, "
+        + VARIANT.format(row="customer_id", text="customer_state")
+        + " AS customer_state FROM m_customers"
+    ),
+    # every spelling of a key, and the smallest one equal to it but for case and accents
+    "x_stored": (
+        "SELECT key_name, spelling, COUNT(*) AS n, "
+        "MIN(spelling) OVER (PARTITION BY key_name, LOWER(STRIP_ACCENTS(spelling))) AS stored FROM ("
+        "SELECT 'order_status' AS key_name, order_status AS spelling FROM m_orders UNION ALL "
+        "SELECT 'payment_type', payment_type FROM m_order_payments UNION ALL "
+        "SELECT 'category', name FROM x_products_any UNION ALL "
+        "SELECT 'category', product_category_name FROM m_translation UNION ALL "
+        "SELECT 'category_label', product_category_name_english FROM m_translation UNION ALL "
+        "SELECT 'state', customer_state FROM x_customers_any UNION ALL "
+        "SELECT 'state', seller_state FROM m_sellers UNION ALL "
+        "SELECT 'state', geolocation_state FROM m_geolocation) WHERE spelling IS NOT NULL GROUP BY key_name, spelling"
+    ),
+    "x_label_any": (
+        "SELECT p.product_id, s.stored AS plain, t.english FROM x_products_any p "
+        "LEFT JOIN x_stored s ON s.key_name = 'category' AND s.spelling = p.name LEFT JOIN ("
+        "SELECT b.stored AS plain, a.product_category_name_english AS english FROM m_translation a "
+        "JOIN x_stored b ON b.key_name = 'category' AND b.spelling = a.product_category_name) t ON t.plain = s.stored"
+    ),
     "x_month": (
         f"SELECT {_month('o.' + _BOUGHT)} AS order_month, COUNT(DISTINCT order_id) AS total_orders, "
         "SUM(i.price + i.freight_value) AS monthly_revenue "
@@ -570,6 +597,27 @@ EXPECTED: dict[str, tuple[str, ...]] = {
         "COUNT(*) FILTER (WHERE order_id % 97 = 0) AS rejected FROM m_order_payments",
         "table_name:s lines:i loaded:i rejected:i",
     ),
+    "key_spellings": (
+        "SELECT key_name, stored, COUNT(*) AS spellings, SUM(n) AS total_rows FROM x_stored GROUP BY key_name, stored",
+        "key_name:s stored:s spellings:i total_rows:i",
+    ),
+    "state_revenue_any_spelling": (
+        "SELECT stored AS customer_state, COUNT(DISTINCT customer_unique_id) AS unique_customers, "
+        "COUNT(DISTINCT order_id) AS total_orders, SUM(price + freight_value) AS total_revenue, "
+        f"{_per('SUM(freight_value)', 'COUNT(freight_value)', 1)} AS avg_freight_paid "
+        "FROM m_order_items JOIN x_done USING (order_id) JOIN x_customers_any USING (customer_id) "
+        "JOIN x_stored ON key_name = 'state' AND spelling = customer_state GROUP BY stored",
+        _STATE,
+    ),
+    "category_revenue_any_spelling": (
+        "SELECT COALESCE(l.english, l.plain, 'Unknown') AS category_english, "
+        "COUNT(DISTINCT i.order_id) AS total_orders, COUNT(i.order_item_id) AS total_units_sold, "
+        f"SUM(i.price) AS total_sales_value, {_per('SUM(i.price)', 'COUNT(i.price)', 1)} AS avg_item_price, "
+        f"{_per('SUM(s.score)', 'COUNT(s.score)', 1)} AS avg_customer_rating "
+        "FROM m_order_items i JOIN x_done o USING (order_id) JOIN x_label_any l USING (product_id) "
+        "LEFT JOIN x_score s USING (order_id) GROUP BY 1",
+        _CATEGORY,
+    ),
     "removed_rows": (
         "SELECT 'repeated key' AS removal_reason, COUNT(*) AS removed_rows, COUNT(*) AS later_copies "
         "FROM m_orders WHERE order_id % 89 = 0 HAVING COUNT(*) > 0 UNION ALL "

@@ -22,7 +22,7 @@ from agoralytics.operators import (
 from agoralytics.plans import views
 from agoralytics.plans.staging import fresh_path
 from agoralytics.schemas import FOREIGN_KEYS, TABLES
-from agoralytics.sources import sinks, tables
+from agoralytics.sources import sinks, spellings, tables
 from agoralytics.sources.sample_tables import SampleTables
 
 Tables = Mapping[str, DataFrame]
@@ -89,6 +89,44 @@ def _rejected(t: Tables) -> DataFrame:
     return bad.withColumnRenamed(tables.REJECTED, "raw_line")
 
 
+# Letters are accented in one row of three, else written small in one of five.
+VARIANT = (
+    "CASE WHEN {row} % 3 = 0 THEN REPLACE({text}, 'A', 'Ã') WHEN {row} % 5 = 0 THEN LOWER({text}) ELSE {text} END"
+)
+
+
+def _respelt(t: Tables) -> dict[str, DataFrame]:
+    """The sample tables with accent and case variants of categories and states."""
+    changed = {name: t[name] for name in t}
+    for name, column, row in (
+        ("products", "product_category_name", "product_id"),
+        ("customers", "customer_state", "customer_id"),
+    ):
+        variant = F.expr(VARIANT.format(row=row, text=column))
+        changed[name] = t[name].withColumn(column, variant)
+    return changed
+
+
+def _key_spellings(t: Tables) -> DataFrame:
+    return (
+        spellings.key_spellings(_respelt(t))
+        .groupBy("key_name", "stored")
+        .agg(F.count(F.lit(1)).alias("spellings"), F.sum("total_rows").alias("total_rows"))
+    )
+
+
+def _states_of_one_spelling(t: Tables) -> DataFrame:
+    one = spellings.one_spelling(_respelt(t))
+    return kpis.state_revenue(one["orders"], one["customers"], one["order_items"])
+
+
+def _categories_of_one_spelling(t: Tables) -> DataFrame:
+    one = spellings.one_spelling(_respelt(t))
+    return kpis.category_revenue(
+        one["order_items"], one["orders"], one["products"], one["translation"], one["order_reviews"]
+    )
+
+
 def _loaded(t: Tables) -> DataFrame:
     spark = t["order_payments"].sparkSession
     return tables.load_table(spark, "order_payments", _spoiled_payments(t), fresh_path(spark, "loaded")).counts
@@ -252,6 +290,9 @@ QUERIES: dict[str, Query] = {
     "rejected_rows": _query(_rejected),
     "load_table": _query(_loaded),
     "removed_rows": _query(_removed),
+    "key_spellings": _query(_key_spellings),
+    "state_revenue_any_spelling": _query(_states_of_one_spelling),
+    "category_revenue_any_spelling": _query(_categories_of_one_spelling),
     "write_rfm_output": _query(_rfm_file),
     "write_segment_summary": _query(_summary_file),
     "export_view": _query(_exported),
