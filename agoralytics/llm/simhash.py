@@ -16,9 +16,11 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 BITS = 64
-FIT_SAMPLE = 4096  # fingerprints from which vantage points and their radii are chosen
+FIT_SAMPLE = 1 << 16  # fingerprints from which the vantage points of the shards and their radii are chosen
 SHARD_ROWS = 20_000  # fingerprints that a shard should be home to
+LEAF_SAMPLE = 4096  # fingerprints from which the tree inside a shard is fitted
 LEAF_ROWS = 256  # of a tree inside a shard
+DEAL_ROWS = 2048  # fingerprints dealt at a time
 CHUNK_ROWS = 4096  # visitors compared at a time
 
 
@@ -159,20 +161,23 @@ class Forest:
             x = up
 
 
-def shard_links(home: np.ndarray, visitors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is linked among ``home`` and ``visitors``, at most one per fingerprint.
+def shard_links(
+    home: np.ndarray, visitors: np.ndarray, bits: int, within: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is linked between ``home`` and ``visitors``, at most one per fingerprint.
 
-    The home fingerprints become a vantage-point tree; every fingerprint is compared with the
-    leaves that its distance bounds leave open. Only the resulting components are returned.
+    The home fingerprints become a vantage-point tree; every visitor, and with ``within`` every
+    home fingerprint too, is compared with the leaves that its distance bounds leave open. Only
+    the resulting components are returned.
     """
     every = np.concatenate((home, visitors))
-    tree = VantageTree(home[:: max(1, len(home) // FIT_SAMPLE)], max(1, len(home) // LEAF_ROWS))
+    tree = VantageTree(home[:: max(1, len(home) // LEAF_SAMPLE)], max(1, len(home) // LEAF_ROWS))
     at, leaf, own = tree.places(home, 0)
     order = np.argsort(leaf, kind="stable")
     members = at[order]
     bounds = np.searchsorted(leaf[order], np.arange(len(tree.leaves) + 1))
     forest = Forest(len(every))
-    for k in range(0, len(every), CHUNK_ROWS):
+    for k in range(0 if within else len(home), len(every), CHUNK_ROWS):
         index, leaf, _ = tree.places(every[k : k + CHUNK_ROWS], bits)
         order = np.argsort(leaf, kind="stable")
         index, leaf = index[order] + k, leaf[order]
@@ -194,35 +199,126 @@ def _tree(distinct: DataFrame, shard_rows: int) -> VantageTree:
     return VantageTree(sample, max(1, -(-total // shard_rows)))
 
 
+def _mixed(fps: np.ndarray) -> np.ndarray:
+    """A hash of each fingerprint, so that like ones do not share a part."""
+    x = fps * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Dealing:
+    """Which groups a fingerprint is sent to: shards of a vantage-point tree, cut into parts.
+
+    ``homes`` and ``visits`` are the numbers of fingerprints that live in each shard and that
+    visit it. A shard of more than twice ``shard_rows`` homes is cut into parts of
+    ``shard_rows``, its visitors into chunks of ``shard_rows``, both by a hash. Group
+    ``(shard, part, chunk)`` holds one part as a tree; the visitors of the chunk, and the homes
+    of the part ``chunk`` where that is no earlier, are looked up in it. So each pair of homes
+    and each home and visitor meet in exactly one group, and a group holds three times
+    ``shard_rows`` at most, up to the evenness of the hash.
+    """
+
+    TREE, TREE_AND_QUERY, QUERY = 0, 1, 2
+
+    def __init__(self, tree: VantageTree, homes: np.ndarray, visits: np.ndarray, shard_rows: int):
+        self.tree = tree
+        self.parts = np.where(homes <= 2 * shard_rows, 1, -(-homes // shard_rows))
+        self.chunks = np.maximum(1, -(-visits // shard_rows))
+
+    @staticmethod
+    def visited(tree: VantageTree, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows ``(index, shard, home)``; a visitor goes to shards after its own only."""
+        index, shard, home = tree.places(fps, bits)
+        own = np.zeros(len(fps), dtype=np.int32)
+        own[index[home]] = shard[home]
+        keep = home | (shard > own[index])
+        return index[keep], shard[keep], home[keep]
+
+    def groups(self, fps: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+        """Rows ``(shard, part, chunk, role, fingerprint)``."""
+        index, shard, home = self.visited(self.tree, fps, bits)
+        fps = fps[index]
+        hashed = _mixed(fps)
+        part = (hashed % self.parts[shard].astype(np.uint64)).astype(np.int64)
+        chunk = (hashed % self.chunks[shard].astype(np.uint64)).astype(np.int64)
+
+        def copies(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            row = np.repeat(rows, times)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            return row, number
+
+        found = []
+        # homes as the tree of every group of their part that looks something up in it
+        rows = np.flatnonzero(home)
+        row, number = copies(rows, np.maximum(self.parts, self.chunks)[shard[rows]])
+        used = ((number >= part[row]) & (number < self.parts[shard[row]])) | (number < self.chunks[shard[row]])
+        row, number = row[used], number[used]
+        found.append((row, part[row], number, np.where(number == part[row], self.TREE_AND_QUERY, self.TREE)))
+        # homes looked up in earlier parts
+        row, number = copies(rows, part[rows])
+        found.append((row, number, part[row], np.full(len(row), self.QUERY)))
+        # visitors looked up in every part
+        rows = np.flatnonzero(~home)
+        row, number = copies(rows, self.parts[shard[rows]])
+        found.append((row, number, chunk[row], np.full(len(row), self.QUERY)))
+        row, part, chunk, role = (np.concatenate(c) for c in zip(*found, strict=True))
+        return shard[row], part.astype(np.int32), chunk.astype(np.int32), role.astype(np.int8), fps[row]
+
+
+def _dealing(distinct: DataFrame, bits: int, shard_rows: int) -> Dealing:
+    """The tree, and the parts of its shards, from two counts per shard."""
+    tree = _tree(distinct, shard_rows)
+    shards = len(tree.leaves)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((2, shards), dtype=np.int64)
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(0, len(fps), DEAL_ROWS):
+                _, shard, home = Dealing.visited(tree, fps[k : k + DEAL_ROWS], bits)
+                totals[0] += np.bincount(shard[home], minlength=shards)
+                totals[1] += np.bincount(shard[~home], minlength=shards)
+        seen = np.flatnonzero(totals.any(axis=0))
+        columns = [pa.array(seen.astype(np.int32)), pa.array(totals[0, seen]), pa.array(totals[1, seen])]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "homes", "visits"])
+
+    counted = distinct.mapInArrow(count, "shard int, homes bigint, visits bigint").groupBy("shard")
+    homes, visits = np.zeros(shards, dtype=np.int64), np.zeros(shards, dtype=np.int64)
+    for r in counted.agg(F.sum("homes").alias("homes"), F.sum("visits").alias("visits")).collect():
+        homes[r.shard], visits[r.shard] = r.homes, r.visits
+    return Dealing(tree, homes, visits, shard_rows)
+
+
 def fingerprint_links(distinct: DataFrame, bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``(fp)`` that join all pairs within ``bits``.
 
     Fingerprints are dealt to the leaves of a vantage-point tree; each also visits every other
     leaf within ``bits`` of it, so each pair meets in the home of either. A visitor is needed
     on one side only and goes to leaves after its own. Shards receive distinct values: copies,
-    however many, are one row.
+    however many, are one row. Leaves with many rows or many visitors are cut into groups of
+    bounded size (``Dealing``); a first pass counts both.
     """
-    tree = _tree(distinct, shard_rows)
+    dealing = _dealing(distinct, bits, shard_rows)
+    names = ["shard", "part", "chunk", "role", "fp"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            index, leaf, home = tree.places(fps.view(np.uint64), bits)
-            own = np.zeros(len(fps), dtype=np.int32)
-            own[index[home]] = leaf[home]
-            keep = home | (leaf > own[index])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf[keep]), pa.array(home[keep]), pa.array(fps[index[keep]])], ["shard", "home", "fp"]
-            )
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(0, len(fps), DEAL_ROWS):
+                *place, values = dealing.groups(fps[k : k + DEAL_ROWS], bits)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, place), pa.array(values.view(np.int64))], names)
 
     def links(table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy().view(np.uint64)
-        home = table.column("home").to_numpy().astype(bool)
-        a, b = shard_links(fps[home], fps[~home], bits)
+        role = table.column("role").to_numpy()
+        tree, query = role != Dealing.QUERY, role == Dealing.QUERY
+        within = bool(np.any(role == Dealing.TREE_AND_QUERY))
+        a, b = shard_links(fps[tree], fps[query], bits, within) if tree.any() else (fps[:0], fps[:0])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = distinct.mapInArrow(deal, "shard int, home boolean, fp bigint")
-    return dealt.groupBy("shard").applyInArrow(links, "a bigint, b bigint")
+    dealt = distinct.mapInArrow(deal, "shard int, part int, chunk int, role tinyint, fp bigint")
+    return dealt.groupBy("shard", "part", "chunk").applyInArrow(links, "a bigint, b bigint")
 
 
 def simhash_groups(

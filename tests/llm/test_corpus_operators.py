@@ -214,6 +214,49 @@ def test_vantage_shards_lose_no_link(spark):
     assert np.array_equal(joined.roots(np.arange(len(fps))), want.roots(np.arange(len(fps))))
 
 
+def test_every_pair_of_a_cut_shard_meets_once_in_bounded_groups():
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    tree = simhash.VantageTree(fps, 2)
+    _, shard, home = simhash.Dealing.visited(tree, fps, 4)
+    homes, visits = (np.bincount(shard[h], minlength=len(tree.leaves)) for h in (home, ~home))
+    dealing = simhash.Dealing(tree, homes, visits, 150)
+    assert dealing.parts.max() > 2 and dealing.chunks.max() > 2
+    met, groups = {}, {}
+    for s, p, c, role, fp in zip(*(x.tolist() for x in dealing.groups(fps, 4)), strict=True):
+        groups.setdefault((s, p, c), []).append((role, fp))
+    for members in groups.values():
+        assert len(members) <= 3 * 150 * 1.4
+        trees = [f for r, f in members if r != dealing.QUERY]
+        own = any(r == dealing.TREE_AND_QUERY for r, _ in members)
+        for f in trees:
+            for g in [g for r, g in members if r == dealing.QUERY] + [g for g in trees if own and g < f]:
+                pair = (f, g) if f < g else (g, f)
+                met[pair] = met.get(pair, 0) + 1
+    assert set(met.values()) == {1}
+    place = {}
+    for i, s, h in zip(*simhash.Dealing.visited(tree, fps, 4), strict=True):
+        place.setdefault(int(s), ([], []))[0 if h else 1].append(int(fps[i]))
+    want = sum(len(a) * (len(a) - 1) // 2 + len(a) * len(b) for a, b in place.values())
+    assert len(met) == want
+
+
+def test_cut_shards_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    fps = np.unique([int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False)) for b in base for _ in range(5)])
+    fps = np.array(fps, dtype=np.uint64)
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
+    place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    want = simhash.Forest(len(fps))
+    want.link(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4))
+    for shard_rows in (60, 300):
+        edges = simhash.fingerprint_links(frame, 4, shard_rows).collect()
+        joined = simhash.Forest(len(fps))
+        joined.link(np.array([place[r.a] for r in edges]), np.array([place[r.b] for r in edges]))
+        assert np.array_equal(joined.roots(np.arange(len(fps))), want.roots(np.arange(len(fps))))
+
+
 def test_repeats_equal_brute_force(docs, rows, none):
     raw = [(i, (t or "").encode()) for i, t in rows]
     order = [float("inf") if i is None else i for i, _ in raw]
