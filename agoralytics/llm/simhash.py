@@ -18,6 +18,7 @@ SEED = 42
 BITS = 64
 FIT_SAMPLE = 1 << 16  # fingerprints from which the vantage points of the shards and their radii are chosen
 SHARD_ROWS = 20_000  # fingerprints that a shard should be home to
+CHUNK_SHARDS = 5  # visitors of a group, as a multiple of that
 LEAF_SAMPLE = 4096  # fingerprints from which the tree inside a shard is fitted
 LEAF_ROWS = 256  # of a tree inside a shard
 DEAL_ROWS = 2048  # fingerprints dealt at a time
@@ -212,11 +213,12 @@ class Dealing:
 
     ``homes`` and ``visits`` are the numbers of fingerprints that live in each shard and that
     visit it. A shard of more than twice ``shard_rows`` homes is cut into parts of
-    ``shard_rows``, its visitors into chunks of ``shard_rows``, both by a hash. Group
+    ``shard_rows``, its visitors into chunks of ``CHUNK_SHARDS`` times as many, both by a hash;
+    each chunk needs its own copy of the part, so copies are a fifth of the visitors. Group
     ``(shard, part, chunk)`` holds one part as a tree; the visitors of the chunk, and the homes
     of the part ``chunk`` where that is no earlier, are looked up in it. So each pair of homes
-    and each home and visitor meet in exactly one group, and a group holds three times
-    ``shard_rows`` at most, up to the evenness of the hash.
+    and each home and visitor meet in exactly one group, and a group holds ``2 + CHUNK_SHARDS``
+    times ``shard_rows`` at most, up to the evenness of the hash.
     """
 
     TREE, TREE_AND_QUERY, QUERY = 0, 1, 2
@@ -224,7 +226,7 @@ class Dealing:
     def __init__(self, tree: VantageTree, homes: np.ndarray, visits: np.ndarray, shard_rows: int):
         self.tree = tree
         self.parts = np.where(homes <= 2 * shard_rows, 1, -(-homes // shard_rows))
-        self.chunks = np.maximum(1, -(-visits // shard_rows))
+        self.chunks = np.maximum(1, -(-visits // (CHUNK_SHARDS * shard_rows)))
 
     @staticmethod
     def visited(tree: VantageTree, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -220,13 +220,13 @@ def test_every_pair_of_a_cut_shard_meets_once_in_bounded_groups():
     tree = simhash.VantageTree(fps, 2)
     _, shard, home = simhash.Dealing.visited(tree, fps, 4)
     homes, visits = (np.bincount(shard[h], minlength=len(tree.leaves)) for h in (home, ~home))
-    dealing = simhash.Dealing(tree, homes, visits, 150)
-    assert dealing.parts.max() > 2 and dealing.chunks.max() > 2
+    dealing = simhash.Dealing(tree, homes, visits, 100)
+    assert dealing.parts.max() > 2 and dealing.chunks.max() > 1
     met, groups = {}, {}
     for s, p, c, role, fp in zip(*(x.tolist() for x in dealing.groups(fps, 4)), strict=True):
         groups.setdefault((s, p, c), []).append((role, fp))
     for members in groups.values():
-        assert len(members) <= 3 * 150 * 1.4
+        assert len(members) <= (2 + simhash.CHUNK_SHARDS) * 100 * 1.2
         trees = [f for r, f in members if r != dealing.QUERY]
         own = any(r == dealing.TREE_AND_QUERY for r, _ in members)
         for f in trees:
