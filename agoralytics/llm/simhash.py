@@ -16,7 +16,7 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 BITS = 64
-FIT_SAMPLE = 1 << 16  # fingerprints from which the vantage points of the shards and their radii are chosen
+FIT_SAMPLE = 1 << 15  # fingerprints from which the vantage points of the shards and their radii are chosen
 SHARD_ROWS = 20_000  # fingerprints that a shard should be home to
 CHUNK_SHARDS = 5  # visitors of a group, as a multiple of that
 LEAF_SAMPLE = 4096  # fingerprints from which the tree inside a shard is fitted
